@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Pieces, and token pairs, remembered by a worker at most; the memory is then emptied.
 MEMO_LIMIT = 1_000_000
@@ -262,7 +263,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str | None = None, text: s
             lists = [memoryview(bpe.packed(t or "")).cast("I").tolist() for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, docs.schema.add(ids, "array<int>"))
+    return docs.mapInArrow(run, docs.schema.add(ids, ArrayType(IntegerType())))
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:

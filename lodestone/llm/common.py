@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, in Java's and in DuckDB's regular expressions.
@@ -80,3 +80,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no stable components after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+class Rows:
+    """Rows in an order within groups, dealt out so that a large group spreads over many tasks.
+
+    Range-partitions by group and order, writes the result once (how the range
+    is cut depends on a sample), and numbers partitions.  `running` then sums
+    within (group, partition) and adds what earlier partitions of the group
+    hold; only one row for each (group, partition) is ever put in a row.
+    """
+
+    def __init__(self, df: DataFrame, group: list[str], order: list[str]):
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+        self.group, self.order = group, order
+        self.rows = written(df.repartitionByRange(parts, *group, *order).withColumn("part", F.spark_partition_id()))
+
+    def running(self, rows: DataFrame, **sums) -> DataFrame:
+        """`rows` (those of self.rows, perhaps with more columns) with the inclusive running sum of each given column expression."""
+        rows = rows.withColumns({k: F.expr(v) if isinstance(v, str) else v for k, v in sums.items()})
+        key = [*self.group, "part"]
+        along = Window.partitionBy(*self.group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy(*key).agg(*[F.sum(k).alias(k) for k in sums])
+        starts = starts.select(*[F.col(c).alias(f"{c}_") for c in key], *[F.coalesce(F.sum(k).over(along), F.lit(0)).alias(f"{k}_") for k in sums])
+        within = Window.partitionBy(*key).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({k: F.sum(k).over(within) for k in sums})
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in self.group] + [F.col("part") == F.col("part_")]
+        on = same[0]
+        for x in same[1:]:
+            on = on & x
+        joined = rows.join(starts, on).withColumns({k: F.col(k) + F.col(f"{k}_") for k in sums})
+        return joined.drop(*[f"{c}_" for c in key], *[f"{k}_" for k in sums])

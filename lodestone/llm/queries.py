@@ -7,19 +7,55 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe
+from lodestone.llm import bpe, chat, classifier, embed_dedup, html_text, licenses, minhash, mixing, quality_rules
 from lodestone.llm.common import table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_byte_bpe": op1_byte_bpe,
-    }
+    return {f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_chat_format, op4_quality_rules, op6_embedding_dedup, op7_quality_classifier, op8_minhash_dedup, op9_license_scan, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_source_mix": mixing.ORACLE_SQL,
+        "op3_chat_format": chat.ORACLE_SQL,
+        "op9_license_scan": licenses.oracle_sql(),
+    }

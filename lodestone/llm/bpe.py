@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Pieces, and token pairs, remembered by a worker at most; the memory is then emptied.
 MEMO_LIMIT = 1_000_000
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str | None = None, text: s
             lists = [memoryview(bpe.packed(t or "")).cast("I").tolist() for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
 
-    return docs.mapInArrow(run, docs.schema.add(ids, ArrayType(IntegerType())))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -277,7 +277,7 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str | None = None, ids: st
             texts = [b"".join([bpe.vocab[i] for i in x or ()]).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return rows.mapInArrow(run, rows.schema.add(text, "string"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text, StringType())]))
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str | None = None) -> DataFrame:

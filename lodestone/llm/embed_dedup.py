@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestone.llm.common import components, discard, written
 
@@ -132,9 +133,7 @@ def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], cosine: float) ->
                 cells[at] = np.floor(_project(x, basis.get(dim)) / eps)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cells[:, k]) for k in range(DIMS)]], names=[*batch.schema.names, *[f"c{k}" for k in range(DIMS)]])
 
-    schema = classes.schema
-    for k in range(DIMS):
-        schema = schema.add(f"c{k}", "integer")
+    schema = StructType([*classes.schema.fields, *[StructField(f"c{k}", IntegerType()) for k in range(DIMS)]])
     order = ["label", "dim", *[f"c{k}" for k in range(DIMS)], "h1", "h2"]
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     sorted_ = classes.mapInArrow(place, schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)

@@ -33,7 +33,9 @@ WINDOW = 5
 #: A document stays if its posterior probability of being good is this or more.
 THRESHOLD = 0.5
 #: Share of good documents, and accuracy of a rule, before anything is counted, and the weight of that belief in documents' shares.
-PRIOR, ACCURACY, BELIEF = 0.85, 0.8, 0.05
+PRIOR, ACCURACY, BELIEF = 0.85, 0.9, 0.05
+#: A word of prose: a letter, perhaps after a quote or bracket, then neither capitals nor symbols nor exclamation marks.
+PLAIN = r"^[\"'(\u00ab\u201c\u201e\u2018]?\p{L}[^\p{Lu}#*$%&|<>!]*$"
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -93,28 +95,32 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long").alias("n_bangs"),
             F.size(F.array_distinct(words)).cast("long").alias("n_kinds"),
             F.size(F.filter(words, lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("n_no_letter"),
+            F.size(F.filter(words, lambda w: w.rlike(PLAIN))).cast("long").alias("n_plain"),
         )
 
     return docs.withColumn("q", let(_words(t), lambda words: let(lines, lambda rows: counts(words, rows))))
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
-
-
 def votes(q: Column) -> dict[str, Column]:
-    """The rules; each votes from the counts of one document."""
+    """The rules; each votes from the counts of one document.
+
+    All but `plain` know only what speaks against a text, and abstain otherwise:
+    the lack of one fault says little about others.
+    """
     n, letters = q["n_words"], q["n_upper"] + q["n_lower"]
-    return {
-        "symbols": _vote(q["n_symbols"] * 10 > n * 2, q["n_symbols"] * 100 < n * 2),
-        "bangs": _vote(q["n_bangs"] * 10 > n * 2, q["n_bangs"] * 100 < n * 2),
-        "capitals": _vote(q["n_upper"] * 10 > letters * 4, q["n_upper"] * 10 < letters * 2),
-        "bare_words": _vote(q["n_no_letter"] * 10 > n * 2, q["n_no_letter"] * 100 < n * 2),
-        "repeats": _vote(q["n_repeat_words"] * 10 > n, q["n_repeat_words"] * 100 <= n * 2),
-        "lines": _vote(q["n_dup_lines"] * 10 > q["n_lines"] * 3, F.lit(False)),
-        "word_length": _vote((q["word_chars"] > n * 14) | (q["word_chars"] < n * 2), (q["word_chars"] >= n * 3) & (q["word_chars"] <= n * 11)),
-        "variety": _vote((n >= 50) & (q["n_kinds"] * 100 < n * 5), (n >= 20) & (q["n_kinds"] * 100 > n * 30)),
+    bad = {
+        "symbols": q["n_symbols"] * 10 > n * 2,
+        "bangs": q["n_bangs"] * 10 > n * 2,
+        "capitals": q["n_upper"] * 10 > letters * 4,
+        "bare_words": q["n_no_letter"] * 10 > n * 2,
+        "repeats": q["n_repeat_words"] * 10 > n,
+        "lines": q["n_dup_lines"] * 10 > q["n_lines"] * 4,
+        "word_length": (q["word_chars"] > n * 14) | (q["word_chars"] < n * 2),
+        "variety": (n >= 50) & (q["n_kinds"] * 100 < n * 5),
     }
+    found = {k: F.when(v, F.lit(-1)).otherwise(F.lit(0)) for k, v in bad.items()}
+    found["plain"] = F.when(q["n_plain"] * 100 < n * 60, F.lit(-1)).when(q["n_plain"] * 100 >= n * 75, F.lit(1)).otherwise(F.lit(0))
+    return found
 
 
 def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[float], list[float]]:

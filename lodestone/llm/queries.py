@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, chat, classifier, embed_dedup, html_text, licenses, minhash, mixing, quality_rules
+from lodestone.llm import bpe, chat, classifier, embed_dedup, html_text, licenses, minhash, mixing, quality_rules, substring
 from lodestone.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.linked(table(spark, sf_dir, "embeddings"))
 
@@ -49,8 +53,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_source_mix, op3_chat_format, op4_quality_rules, op6_embedding_dedup, op7_quality_classifier, op8_minhash_dedup, op9_license_scan, op10_html_text)}
+    own = (
+        op1_byte_bpe, op2_source_mix, op3_chat_format, op4_quality_rules, op5_substring_dedup,
+        op6_embedding_dedup, op7_quality_classifier, op8_minhash_dedup, op9_license_scan, op10_html_text, pipeline,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

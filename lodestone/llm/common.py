@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, in Java's and in DuckDB's regular expressions.
@@ -57,31 +57,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     very many neighbours is a skewed join that adaptive execution splits.
     Nodes without an edge to another node do not occur in the result.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    edges, state = _counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = (0,)
     for _ in range(rounds):
+        if state == before or not state[0]:
+            break
+        before = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above u move to the smallest of u's neighbourhood
-        stars = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        stars = written(stars)
-        discard(low)
+        stars = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         discard(edges)
         # small star: u and its smaller neighbours move to the smallest of these
-        low = written(stars.groupBy("u").agg(F.min("v").alias("m")))
+        low = stars.groupBy("u").agg(F.min("v").alias("m"))
         moved = stars.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
-        discard(low)
+        edges, state = _counted(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
         discard(stars)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
     else:
         raise RuntimeError(f"no stable components after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """`edges` written, and their number and checksum, taken as they are written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+    return out, (seen.get["n"], seen.get["s"])
+
+
 class Rows:
     """Rows in an order within groups, dealt out so that a large group spreads over many tasks.
 

@@ -45,9 +45,9 @@ LENGTH = 2
 PERCENT = 80
 COORDINATES = 128
 TREES = 12
-SMALL = 48
+SMALL = 200
 SLACK = 0.12
-LEVELS = 48
+LEVELS = 40
 
 _G = np.random.default_rng(20)
 _A = _G.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,8 +222,7 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
 
     # nodes of the first level, and what is alike to the smallest of a node
     rows = written(branches(classes, root=True))
-    low = rows.groupBy("node").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
-    low = written(low)
+    low = written(rows.groupBy("node").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1"))
     stars = rows.join(low, "node").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     stars = alike(stars, classes, least)
     # of each document the smallest that surely is near, else the nearest
@@ -239,10 +238,9 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
     found = None
     for level in range(LEVELS):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 1 AND x <> y").select("node", "n")
-        nodes = written(nodes)
         rows = written(rows.drop("n").join(nodes, "node"))
         small = "true" if level == LEVELS - 1 else f"n <= {SMALL}"
-        new = written(pairs_within(rows.where(small), least))
+        new = pairs_within(rows.where(small), least)
         found = new if found is None else found.union(new)
         large = rows.where(f"NOT ({small})")
         if large.isEmpty():

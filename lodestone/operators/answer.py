@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CITATION = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 SNIPPET, PASSAGE = 300, 8000
@@ -49,7 +50,7 @@ def drop_unresolvable(answer: Column, n_passages: Column) -> Column:
     return F.struct(text.alias("text"), dropped.alias("dropped"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain_ascii(text: pd.Series) -> pd.Series:
     """Compatibility forms in ASCII: no function of the engine decomposes characters."""
     table = str.maketrans(PLAIN)

@@ -128,7 +128,7 @@ def rerank_with(candidates: DataFrame, model: Callable[[str, list[str]], Sequenc
                     orders.append([])
             yield pdf[["query_id"]].assign(order=orders)
 
-    return rerank_by_order(candidates, asked.mapInPandas(run, "query_id string, order array<int>"), k, pool)
+    return rerank_by_order(candidates, asked.mapInPandas(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, order array<int>"), k, pool)
 
 
 def lookup_codes(questions: DataFrame, codes: DataFrame, cap: int = PINS) -> DataFrame:

@@ -134,7 +134,7 @@ def enrich_with(understood: DataFrame, model: Callable[[str], dict]) -> DataFram
 
             yield pd.DataFrame(rows, columns=["query_id", "intent", "wants_diagram", "rewrite"])
 
-    replies = understood.select("query_id", "query").mapInPandas(run, "query_id string, intent string, wants_diagram boolean, rewrite string")
+    replies = understood.select("query_id", "query").mapInPandas(run, f"query_id {understood.schema['query_id'].dataType.simpleString()}, intent string, wants_diagram boolean, rewrite string")
     return enrich(understood, replies)
 
 

@@ -123,7 +123,7 @@ def votes(q: Column) -> dict[str, Column]:
     return found
 
 
-def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[float], list[float]]:
+def estimate(counts: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 200) -> tuple[float, list[float], list[float]]:
     """Expectation-maximisation on counted vote patterns: the share of good documents, and for
     each rule its probability of voting "good" on a good one, and "bad" on a bad one, when it votes.
 
@@ -131,7 +131,6 @@ def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tu
     a rule is never taken to be worse than a coin.
     """
     total = sum(n for _, n in counts)
-    rules = len(counts[0][0]) if counts else 0
     share, right = PRIOR, [[ACCURACY] * rules, [ACCURACY] * rules]  # right[0]: on good, right[1]: on bad documents
     extra = max(1.0, BELIEF * total)
     for _ in range(rounds if total else 0):
@@ -171,7 +170,7 @@ def judge(counts: DataFrame) -> DataFrame:
     """
     cast = votes(F.col("q"))
     patterns = counts.where(~_base_failed(F.col("q"))).groupBy(*[v.alias(k) for k, v in cast.items()]).count().orderBy(*cast).collect()  # at most 3 ** rules rows
-    share, on_good, on_bad = estimate([(tuple(r[:-1]), r[-1]) for r in patterns])
+    share, on_good, on_bad = estimate([(tuple(r[:-1]), r[-1]) for r in patterns], len(cast))
     x = F.lit(math.log(share / (1 - share)))
     for v, g, b in zip(cast.values(), on_good, on_bad, strict=True):
         x = x + F.when(v > 0, F.lit(math.log(g / (1 - b)))).when(v < 0, F.lit(math.log((1 - g) / b))).otherwise(F.lit(0.0))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, written
+from lodestone.llm.common import WORD, discard, written
 from lodestone.llm.shingles import window_hashes, word_hashes
 
 LENGTH = 20
@@ -223,7 +223,9 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cols = docs.columns
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(doc.alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(marks, ["doc", "key"], "left").where("all IS NULL OR NOT all")
+    # a copy goes as a whole if it has a window at all
+    long_ = F.regexp_count(F.col("text"), F.lit(WORD)) >= length
+    joined = rows.join(marks, ["doc", "key"], "left").where(~F.coalesce(F.col("all") & long_, F.lit(False)))
     whole = joined.where("starts IS NULL").select("row")
 
     def run(batches):

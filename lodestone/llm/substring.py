@@ -14,10 +14,11 @@ the same place, so nothing that is repeated is missed, and about one start in
 six is looked at.
 
 Documents with equal texts are set apart first: all but the first copy have
-each window repeated.  Within a batch of documents equal windows are resolved
-at once, so a passage that a third of all documents share leaves each batch as
-one row; the rest is decided by a minimum for each 128-bit window hash,
-combined before the shuffle.
+each window repeated.  Window hashes travel packed: each batch of documents
+resolves equal windows within itself at once, so that a passage that a third
+of all documents share leaves a batch as one entry, and sends what is left as
+one compressed block for each bucket of hashes.  Texts are moved once, for the
+second level; those that may lose words go along with what is found there.
 
 Defined results for odd input: null text and texts of fewer than LENGTH words
 lose nothing; a document of which nothing is kept has the empty text.  Rows
@@ -33,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,10 @@ from lodestone.llm.common import WORD, discard, written
 from lodestone.llm.shingles import window_hashes, word_hashes
 
 LENGTH = 20
-#: Words of a batch's documents up to which windows are held together.
+#: Windows that a batch holds together.
 HELD = 1 << 20
-
+#: Buckets of hashes for each shuffle partition; one bucket at a time is held in memory.
+BUCKETS = 4
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
@@ -74,103 +77,192 @@ def _copies(rows: DataFrame) -> DataFrame:
     return slim.join(first, "digest").where("doc > first").select("doc", "key").distinct()
 
 
-def _level_one(rows: DataFrame, length: int) -> DataFrame:
-    """hash, doc, key, at of every anchor."""
+PACKED = "kind int, bucket int, payload binary, doc long, key long, starts array<int>, text string"
+_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary()), ("doc", pa.int64()), ("key", pa.int64()), ("starts", pa.list_(pa.int32())), ("text", pa.string())])
+ENTRIES, STARTS, TEXT = 0, 1, 2
+#: Of an entry: two parts of the hash, document, key and start.
+_KINDS = (np.uint64, np.uint32, np.int64, np.int64, np.uint32)
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of entries sorted by the first one, of which only the steps are kept."""
+    import zstandard
+
+    steps = np.diff(columns[0], prepend=np.uint64(0))
+    raw = b"".join(c.astype(t).tobytes() for c, t in zip([steps, *columns[1:]], _KINDS, strict=True))
+    return len(steps).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpack(payload: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    n = int.from_bytes(payload[:4], "little")
+    raw, at, out = zstandard.ZstdDecompressor().decompress(payload[4:]), 0, []
+    for t in _KINDS:
+        size = n * np.dtype(t).itemsize
+        out.append(np.frombuffer(raw, t, n, at))
+        at += size
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def _starts_rows(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> list[dict]:
+    order = np.lexsort((starts, keys, docs))
+    docs, keys, starts = docs[order], keys[order], starts[order]
+    cut = np.flatnonzero((np.diff(docs) != 0) | (np.diff(keys) != 0)) + 1
+    heads = np.concatenate([[0], cut]) if len(docs) else []
+    return [{"kind": STARTS, "bucket": int(docs[h] % 32), "doc": int(docs[h]), "key": int(keys[h]), "starts": np.unique(x).tolist()} for h, x in zip(heads, np.split(starts, cut), strict=False)]
+
+
+def _sorted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Entries by hash, document and start; whether an entry is the first of its hash; and where that first one is."""
+    h1, h2, docs, keys, starts = columns
+    order = np.lexsort((starts, docs, h2, h1))
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    return columns, new, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _resolve(columns: list[np.ndarray], buckets: int, later_only: bool):
+    """What a batch says: entries by bucket, and starts that are known to be repeated.
+
+    later_only: an entry is repeated if an equal one is earlier, and the first
+    goes on; else all equal ones are repeated, and of these one goes on
+    without a document (of start 2 ** 32 - 1), to speak for its hash.
+    """
+    columns, new, head = _sorted(columns)
+    docs, keys, starts = columns[2:]
+    if later_only:
+        known = (docs > docs[head]) | (starts > starts[head])
+        sent = new | (~known & (keys != keys[head]))  # rows of one id stand in one place
+    else:
+        several = np.zeros(len(new), bool)
+        several[:-1] |= ~new[1:]
+        known = several | ~new
+        sent = new
+        columns[2], columns[3], columns[4] = (np.where(known, v, c) for c, v in zip(columns[2:], (0, 0, 0xFFFFFFFF), strict=True))
+    rows = _starts_rows(docs[known], keys[known], starts[known])
+    sent = [c[sent] for c in columns]
+    bucket = (sent[0] >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        at = order[cuts[k] : cuts[k + 1]]
+        if len(at):
+            rows.append({"kind": ENTRIES, "bucket": k, "payload": _pack([c[at] for c in sent])})
+    for k in range(0, len(rows), 512):
+        yield pa.RecordBatch.from_pylist(rows[k : k + 512], schema=_ARROW)
+
+
+def _reduced(rows: DataFrame, later_only: bool) -> DataFrame:
+    """(doc, key, starts) of what is repeated, from the packed rows of all batches: one bucket at a time."""
 
     def run(batches):
+        now, held = None, []
+
+        def found():
+            columns = [np.concatenate(c) for c in zip(*map(_unpack, held), strict=True)]
+            columns, new, head = _sorted(columns)
+            docs, keys, starts = columns[2:]
+            if later_only:
+                good = (docs > docs[head]) | (starts > starts[head])
+            else:
+                several = np.zeros(len(new), bool)
+                several[:-1] |= ~new[1:]
+                good = (several | ~new) & (starts != 0xFFFFFFFF)
+            out = _starts_rows(docs[good], keys[good], starts[good])
+            for k in range(0, len(out), 4096):
+                yield pa.RecordBatch.from_pylist(out[k : k + 4096], schema=_ARROW).select(["doc", "key", "starts"])
+
         for batch in batches:
-            docs, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
-            hashes, starts, counts = [], [], []
-            for t in batch.column("text"):
-                at, own = anchors(word_hashes(words_of(t.as_py())), length)
-                hashes.append(own)
-                starts.append(at)
-                counts.append(len(at))
-            if sum(counts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes).astype(np.int64)), pa.array(np.repeat(docs, counts)), pa.array(np.repeat(keys, counts)), pa.array(np.concatenate(starts).astype(np.int32))],
-                    names=["hash", "doc", "key", "at"],
-                )
-
-    return rows.mapInArrow(run, "hash long, doc long, key long, at int")
-
-
-def _level_two(rows: DataFrame, length: int) -> DataFrame:
-    """Full windows around repeated anchors (column `anchors`).
-
-    Rows of two kinds: a window's hash (h1, h2) with the first place in its
-    batch, and, with `known`, the starts of a document that came later in the
-    same batch than an equal window.
-    """
-    half = length // 2
-    names = ["h1", "h2", "doc", "key", "at", "known"]
-
-    def resolve(held):
-        docs, keys, starts, h1, h2 = (np.concatenate([h[k] for h in held]) for k in range(5))
-        order = np.lexsort((starts, docs, h2, h1))
-        docs, keys, starts, h1, h2 = (x[order] for x in (docs, keys, starts, h1, h2))
-        new = np.ones(len(docs), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        group = np.cumsum(new) - 1
-        head = np.flatnonzero(new)[group]
-        later = (docs > docs[head]) | (starts > starts[head])  # than the first of the group
-        # rows that repeat (doc, key) stand in one place: one of them is enough
-        keep = new | (~later & (keys != keys[head]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x[keep].astype(t)) for x, t in ((h1, np.int64), (h2, np.int64), (docs, np.int64), (keys, np.int64), (starts, np.int32))] + [pa.nulls(int(keep.sum()), pa.list_(pa.int32()))], names=names
-        )
-        docs, keys, starts = docs[later], keys[later], starts[later]
-        if len(docs):
-            order = np.lexsort((starts, keys, docs))
-            docs, keys, starts = docs[order], keys[order], starts[order]
-            cut = np.flatnonzero((np.diff(docs) != 0) | (np.diff(keys) != 0)) + 1
-            heads = np.concatenate([[0], cut])
-            lists = [np.unique(x).astype(np.int32).tolist() for x in np.split(starts, cut)]
-            h = docs[heads] ^ (keys[heads] << 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(h), pa.array(docs[heads]), pa.array(keys[heads]), pa.array(np.full(len(heads), -1, np.int32)), pa.array(lists, pa.list_(pa.int32()))], names=names
-            )
+            known = batch.filter(pa.compute.equal(batch.column("kind"), STARTS))
+            if known.num_rows:
+                yield known.select(["doc", "key", "starts"])
+            for kind, bucket, payload in zip(*[batch.column(c).to_pylist() for c in ("kind", "bucket", "payload")], strict=True):
+                if kind != ENTRIES:
+                    continue
+                if bucket != now and held:
+                    yield from found()
+                    held = []
+                now = bucket
+                held.append(payload)
+        if held:
+            yield from found()
+
+    dealt = rows.where(F.col("kind") != TEXT).select("kind", "bucket", "payload", "doc", "key", "starts").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    out = dealt.mapInArrow(run, "doc long, key long, starts array<int>")
+    return out.groupBy("doc", "key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+
+
+def _level_one(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """The anchors of all documents; the key plays no part yet, and anchors of equal ids are pooled."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column("doc"), batch.column("text"), strict=True):
+                at, own = anchors(word_hashes(words_of(text.as_py())), length)
+                if len(at):
+                    n = len(at)
+                    held.append((own, (own >> np.uint64(7)).astype(np.uint32), np.full(n, doc.as_py(), np.int64), np.zeros(n, np.int64), at.astype(np.uint32)))
+                    size += n
+                if size >= HELD:
+                    yield from _resolve([np.concatenate(c) for c in zip(*held, strict=True)], buckets, False)
+                    held, size = [], 0
+        if held:
+            yield from _resolve([np.concatenate(c) for c in zip(*held, strict=True)], buckets, False)
+
+    return rows.select("doc", "text").mapInArrow(run, PACKED)
+
+
+def _level_two(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Full windows around repeated anchors (column `anchors`), and the texts that have some; `several`: the id has other texts too; `skip`: keys of copies."""
+    reach = length - length // 2
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for doc, key, text, own in zip(*[batch.column(c) for c in ("doc", "key", "text", "anchors")], strict=True):
+            texts = []
+            for doc, key, text, own, several, skip in zip(*[batch.column(c) for c in ("doc", "key", "text", "anchors", "several", "skip")], strict=True):
+                doc, key = doc.as_py(), key.as_py()
+                if key in (skip.as_py() or ()):
+                    continue
                 hashes = word_hashes(words_of(text.as_py()))
-                near = np.asarray(own.as_py(), np.int64)[:, None] + np.arange(-(length - half), 1)
+                near = np.asarray(own.as_py(), np.int64)[:, None] + np.arange(-reach, 1)
                 at = np.unique(near[(near >= 0) & (near <= len(hashes) - length)])
                 if not len(at):
                     continue
-                held.append((np.full(len(at), doc.as_py(), np.int64), np.full(len(at), key.as_py(), np.int64), at, window_hashes(hashes, length, 1)[at], window_hashes(hashes, length, 2)[at]))
-                size += len(at)
+                texts.append({"kind": TEXT, "bucket": -1, "doc": doc, "key": key, "text": text.as_py()})
+                n, own_key = len(at), key if several.as_py() else 0
+                held.append((window_hashes(hashes, length, 1)[at], window_hashes(hashes, length, 2)[at].astype(np.uint32), np.full(n, doc, np.int64), np.full(n, own_key, np.int64), at.astype(np.uint32)))
+                size += n
                 if size >= HELD:
-                    yield from resolve(held)
+                    yield from _resolve([np.concatenate(c) for c in zip(*held, strict=True)], buckets, True)
                     held, size = [], 0
+            for k in range(0, len(texts), 256):
+                yield pa.RecordBatch.from_pylist(texts[k : k + 256], schema=_ARROW)
         if held:
-            yield from resolve(held)
+            yield from _resolve([np.concatenate(c) for c in zip(*held, strict=True)], buckets, True)
 
-    return rows.mapInArrow(run, "h1 long, h2 long, doc long, key long, at int, known array<int>")
+    return rows.mapInArrow(run, PACKED)
 
 
-def repeated(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(doc, key, starts) of the repeated windows, and (doc, key) of the copies of earlier texts."""
+def shortened(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, text, starts) of the documents that lose words by a window, and (doc, key) of the copies of earlier texts."""
+    buckets = BUCKETS * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = _identified(docs)
     copies = written(_copies(rows))
-    one = _level_one(rows, length)
-    # anchors that occur twice or more, of documents that are no copies
-    ones = written(one)
-    often = written(ones.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    chosen = ones.join(often, "hash", "left_semi").select("doc", "key", "at")
-    chosen = chosen.join(copies, ["doc", "key"], "left_anti")
-    chosen = written(chosen.groupBy("doc", "key").agg(F.collect_set("at").alias("anchors")))
-    discard(ones)
-    discard(often)
-    two = written(_level_two(rows.join(chosen, ["doc", "key"]), length))
+    chosen = _reduced(_level_one(rows, length, buckets), False).select("doc", F.col("starts").alias("anchors"))
+    several = rows.groupBy("doc").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc", F.lit(True).alias("several"))
+    skip = copies.groupBy("doc").agg(F.collect_set("key").alias("skip"))
+    chosen = written(chosen.join(several, "doc", "left").join(skip, "doc", "left"))
+    two = written(_level_two(rows.join(chosen, "doc").select("doc", "key", "text", "anchors", F.coalesce("several", F.lit(False)).alias("several"), "skip"), length, buckets))
     discard(chosen)
-    places = two.where("known IS NULL")
-    first = written(places.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("m"), F.max(F.struct("doc", "at")).alias("x")).where("m <> x").select("h1", "h2", "m"))
-    later = places.join(first, ["h1", "h2"]).where("struct(doc, at) > m").groupBy("doc", "key").agg(F.collect_set("at").alias("starts"))
-    starts = later.union(two.where("known IS NOT NULL").select("doc", "key", F.col("known").alias("starts")))
-    return starts.groupBy("doc", "key").agg(F.flatten(F.collect_list("starts")).alias("starts")), copies
+    starts = _reduced(two, True).withColumnsRenamed({"doc": "doc_", "key": "key_"})
+    texts = two.where(F.col("kind") == TEXT).select("doc", "key", "text")
+    lost = texts.join(starts, (F.col("doc") == F.col("doc_")) & ((F.col("key_") == 0) | (F.col("key") == F.col("key_"))))
+    return lost.select("doc", "key", "text", "starts"), copies
 
 
 def covered(n: int, starts, length: int) -> np.ndarray:
@@ -182,58 +274,52 @@ def covered(n: int, starts, length: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _kept(docs: DataFrame, length: int) -> DataFrame:
-    """doc, key, text and starts (null: none), all (the text is a copy of an earlier one)."""
-    starts, copies = repeated(docs, length)
-    marks = written(starts.select("doc", "key", "starts", F.lit(False).alias("all")).union(copies.select("doc", "key", F.lit(None).cast("array<int>"), F.lit(True))))
-    return marks
+def _shortened_texts(lost: DataFrame, length: int) -> DataFrame:
+    """doc, key, n_removed, new_text."""
 
+    def run(batches):
+        for batch in batches:
+            gone, texts = [], []
+            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
+                words = words_of(text.as_py())
+                at = np.asarray(starts.as_py(), np.int64)
+                cover = covered(len(words), at[at <= len(words) - length], length)
+                gone.append(int(cover.sum()))
+                texts.append(b" ".join(w for w, g in zip(words, cover.tolist(), strict=True) if not g).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc", "key", "n_removed", "new_text"])
 
-def _cut(text: str | None, starts, all_: bool | None, length: int) -> tuple[list[bytes], int]:
-    words = words_of(text)
-    if len(words) < length or not (all_ or starts):
-        return words, 0
-    if all_:
-        return [], len(words)
-    gone = covered(len(words), starts, length)
-    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
+    return lost.mapInArrow(run, "doc long, key long, n_removed long, new_text string")  # repeated rows repeat here
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    marks = _kept(docs, length)
+    lost, copies = shortened(docs, length)
+    less = _shortened_texts(lost, length).select("doc", "key", F.col("n_removed").alias("gone"), F.sha2("new_text", 256).alias("sha")).dropDuplicates(["doc", "key"])
 
-    def run(batches):
+    def whole(batches):
         for batch in batches:
-            n, gone, sha = [], [], []
-            for t, s, a in zip(*[batch.column(c) for c in ("text", "starts", "all")], strict=True):
-                words, k = _cut(t.as_py(), s.as_py(), a.as_py(), length)
-                n.append(len(words) + k)
-                gone.append(k)
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256"])
+            words = [words_of(t.as_py()) for t in batch.column("text")]
+            sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(map(len, words), pa.int64()), pa.array(sha, pa.string())], names=["doc", "key", "n_words", "whole_sha"])
 
-    out = _identified(docs).join(marks, ["doc", "key"], "left").select("doc", "text", "starts", "all").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string")
-    return out.select(F.when(F.col("doc") != F.lit(-(1 << 63)), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    out = _identified(docs).mapInArrow(whole, "doc long, key long, n_words long, whole_sha string")
+    out = out.join(less, ["doc", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc", "key"], "left")
+    all_ = F.coalesce(F.col("copy") & (F.col("n_words") >= length), F.lit(False))
+    return out.select(
+        F.when(F.col("doc") != F.lit(-(1 << 63)), F.col("doc")).alias("doc_id"), "n_words", F.when(all_, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+        F.when(all_, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "whole_sha")).alias("kept_sha256"),
+    )
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs` with repeated passages removed from `text`; rows that keep no word go, unchanged texts stay as they are."""
-    marks = _kept(docs, length)
-    cols = docs.columns
+    """`docs` with repeated passages removed from `text`; rows that keep no word by that go, unchanged texts stay as they are."""
+    lost, copies = shortened(docs, length)
+    marks = _shortened_texts(lost, length).select("doc", "key", "new_text", F.lit(False).alias("copy")).union(copies.select("doc", "key", F.lit(""), F.lit(True))).dropDuplicates(["doc", "key"])
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(doc.alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(doc.alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(marks, ["doc", "key"], "left")
     # a copy goes as a whole if it has a window at all
-    long_ = F.regexp_count(F.col("text"), F.lit(WORD)) >= length
-    joined = rows.join(marks, ["doc", "key"], "left").where(~F.coalesce(F.col("all") & long_, F.lit(False)))
-    whole = joined.where("starts IS NULL").select("row")
-
-    def run(batches):
-        for batch in batches:
-            texts = [b" ".join(_cut(t.as_py(), s.as_py(), False, length)[0]).decode() for t, s in zip(batch.column("text"), batch.column("starts"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
-
-    cut = joined.where("starts IS NOT NULL").select("row", "text", "starts")
-    cut = cut.mapInArrow(run, f"row {cut.schema['row'].dataType.simpleString()}, text string").where("text <> ''")
-    cut = cut.select(F.col("row").withField("text", F.col("text")).alias("row"))
-    return whole.union(cut).select("row.*")
+    short = F.coalesce(F.regexp_count(F.col("row.text"), F.lit(WORD)), F.lit(0)) < length
+    joined = joined.where(F.col("new_text").isNull() | (F.col("new_text") != "") | (F.col("copy") & short))
+    text = F.when(F.coalesce(F.col("new_text"), F.lit("")) != "", F.col("new_text")).otherwise(F.col("row.text"))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")

@@ -11,16 +11,18 @@ documents are compared exhaustively, larger ones branch again.
 What is wanted are components, so work that cannot change them is left out:
 
 * documents with equal sets are one class, compared once;
-* the members of a node are first held against the smallest member, and what
-  is confirmed gives first components, which closes every node that lies
+* documents that meet the smallest member of their nodes time and again are
+  held against that one first, and what is confirmed gives first components, which closes every node that lies
   within one of them, however large a group of near copies it holds;
 * other nodes go on until they are small, and only pairs of different first
   components are compared there.
 
+What counts as small doubles with every level: nodes that branching does not
+split hold documents that are alike, and are compared as they are, label by
+label in blocks.  So there is no cap on partners or candidates.
+
 Signatures only choose pairs (from an estimate of SIMILARITY - SLACK); every
-link is confirmed on the two full sets, 100 |A n B| >= 80 |A u B|.  There is no
-cap on partners or candidates: a node that LEVELS levels could not split is
-compared in blocks.
+link is confirmed on the two full sets, 100 |A n B| >= 80 |A u B|.
 
 Defined results for odd input: null and empty texts, and texts without words,
 have no shingles and link with nothing; rows with null doc_id link with
@@ -32,6 +34,8 @@ result.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,93 +51,87 @@ COORDINATES = 128
 TREES = 12
 SMALL = 200
 SLACK = 0.12
-LEVELS = 40
+#: First nodes, of about 15, that a document shares with the smallest of them before their sets are fetched for the first components.
+MET = 4
 
 _G = np.random.default_rng(20)
 _A = _G.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _G.integers(0, 1 << 63, COORDINATES, np.uint64)
 
 
-def signature(own: np.ndarray) -> bytes:
-    """16 bits of each minwise token."""
+def signature(own: np.ndarray) -> np.ndarray:
+    """The minwise tokens."""
     low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 512):
         low = np.minimum(low, (own[None, at : at + 512] * _A[:, None] + _B[:, None]).min(1))
-    return mixed(low).astype("<u2").tobytes()
+    return mixed(low)
+
+
+def chosen(node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each choice the places of the nodes that make it, and their coordinates."""
+    choice = mixed(node + np.uint64(17))
+    second = np.flatnonzero((choice >> np.uint64(32)) % np.uint64(4) == 0)
+    return [(np.arange(len(node)), choice % np.uint64(COORDINATES)), (second, (choice[second] >> np.uint64(40)) % np.uint64(COORDINATES))]
+
+
+def step(node: np.ndarray, choice: int, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mixed(mixed(mixed(node + np.uint64(choice)) ^ (coordinate << np.uint64(52))) ^ token)
+
+
+_ROOTS = mixed(np.arange(TREES, dtype=np.uint64) + np.uint64(1000))
+_FIRST = [(k, _ROOTS[at], c) for k, (at, c) in enumerate(chosen(_ROOTS))]
 
 
 def signatures(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (hash of the set), sig of every row."""
+    """doc_id, n_shingles, s1, s2 (hash of the set), sketch (8 bits of each token), tokens (32 bits), roots (first nodes) of every row."""
 
     def run(batches):
         for batch in batches:
-            n, s1, s2, sig = [], [], [], []
+            n, s1, s2, sketch, tokens, roots = [], [], [], [], [], []
             for t in batch.column("text"):
                 own = shingle_set(t.as_py(), length)
                 digest = np.frombuffer(xxhash.xxh128_digest(own.tobytes()), np.int64)
                 n.append(len(own))
                 s1.append(int(digest[0]))
                 s2.append(int(digest[1]))
-                sig.append(signature(own) if len(own) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, s1, s2)], pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+                sig = signature(own)
+                sketch.append(sig.astype(np.uint8).tobytes())
+                tokens.append(sig.astype("<u4").tobytes())
+                first = [step(node, k, at, sig[at.astype(np.int64)]) for k, node, at in _FIRST]
+                roots.append(np.concatenate(first).astype(np.int64).tolist() if len(own) else [])
+            arrays = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, s1, s2)], pa.array(sketch, pa.binary()), pa.array(tokens, pa.binary()), pa.array(roots, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "s1", "s2", "sketch", "tokens", "roots"])
 
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, tokens binary, roots array<long>")
 
-def branches(rows: DataFrame, root: bool) -> DataFrame:
-    """Rows (node, rep, ...) of the next level from rows with a signature; at the root one node for each tree."""
-    keep = [c for c in rows.columns if c not in ("node", "sig")]
-
-    def run(batches):
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
-            everyone = np.arange(len(sig))
-            if root:
-                steps = [(everyone, mixed(np.full(len(sig), 1000 + t, np.uint64))) for t in range(TREES)]
-            else:
-                node = batch.column("node").to_numpy().astype(np.uint64)
-                steps = [(everyone, node)]
-            for who, node in steps:
-                choice = mixed(node + np.uint64(17))
-                chosen = [(who, choice % np.uint64(COORDINATES))]
-                second = (choice >> np.uint64(32)) % np.uint64(4) == 0
-                chosen.append((who[second], (choice[second] >> np.uint64(40)) % np.uint64(COORDINATES)))
-                for k, (rows_, at) in enumerate(chosen):
-                    if not len(rows_):
-                        continue
-                    own = node if k == 0 else node[second]
-                    to = mixed(mixed(own + np.uint64(k)) ^ (at << np.uint64(20)) ^ sig[rows_, at.astype(np.int64)].astype(np.uint64))
-                    kept = batch.select(keep).take(pa.array(rows_))
-                    yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), *kept.columns], names=["node", *keep])
-
-    schema = "node long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return rows.mapInArrow(run, schema)
 
-
-def alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose signatures agree in the share `least` of coordinates, and that share."""
-    one = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    two = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+def branches(rows: DataFrame) -> DataFrame:
+    """Rows (node, rep, label) of the next level from rows (node, rep, label, tokens)."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-            share = (x == y).mean(1)
-            at = pa.array(np.flatnonzero(share >= least))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(share).take(at)], names=["a", "b", "share"])
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u4").reshape(-1, COORDINATES)
+            node = batch.column("node").to_numpy().view(np.uint64)
+            for k, (at, coordinate) in enumerate(chosen(node)):
+                to = step(node[at], k, coordinate, tokens[at, coordinate.astype(np.int64)].astype(np.uint64))
+                kept = batch.select(["rep", "label"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), *kept.columns], names=["node", "rep", "label"])
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, share double")
+    return rows.mapInArrow(run, "node long, rep long, label long")
 
 
 def pairs_within(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of each node whose signatures are alike and whose labels differ; rows (node, rep, label, sig)."""
+    """Pairs (a, b) of each node whose signatures are alike and whose labels differ; rows (node, rep, label, sketch)."""
 
     def run(batches):
         key, held = None, []
 
         def compare():
             rep, label = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
-            sig = np.frombuffer(b"".join(r[2] for r in held), "<u2").reshape(-1, COORDINATES)
+            sig = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(-1, COORDINATES)
+            order = np.argsort(label, kind="stable")  # blocks of one label are skipped
+            rep, label, sig = rep[order], label[order], sig[order]
             for s in range(0, len(rep), 64):
                 for t in range(s, len(rep), 64):
                     x, y = slice(s, s + 64), slice(t, t + 64)
@@ -149,7 +147,7 @@ def pairs_within(rows: DataFrame, least: float) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            for node, *r in zip(*[batch.column(c).to_pylist() for c in ("node", "rep", "label", "sig")], strict=True):
+            for node, *r in zip(*[batch.column(c).to_pylist() for c in ("node", "rep", "label", "sketch")], strict=True):
                 if node != key and held:
                     yield from compare()
                     held = []
@@ -216,36 +214,34 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
     least = percent / 100 - SLACK
     signed = written(signatures(docs, length))
     usable = "doc_id IS NOT NULL AND n_shingles > 0"
-    classes = signed.where(usable).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = written(classes.select("rep", "sig"))
+    reps = written(signed.where(usable).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+    ids = reps.select("rep").distinct()
     sets = _Sets(docs, length)
 
-    # nodes of the first level, and what is alike to the smallest of a node
-    rows = written(branches(classes, root=True))
+    # nodes of the first level; a document that often meets the smallest of its nodes is held against that one
+    rows = written(signed.where(usable).select(F.col("doc_id").alias("rep"), F.explode("roots").alias("node")).join(ids, "rep", "left_semi").select("node", "rep"))
     low = written(rows.groupBy("node").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1"))
-    stars = rows.join(low, "node").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    stars = alike(stars, classes, least)
-    # of each document the smallest that surely is near, else the nearest
-    best = F.min(F.struct(F.when(F.col("share") >= percent / 100 + 0.05, F.lit(-2.0)).otherwise(-F.col("share")).alias("s"), "b"))
-    stars = written(stars.groupBy("a").agg(best.alias("m")).select("a", F.col("m.b").alias("b")))
+    stars = rows.join(low, "node").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("met")).where(F.col("met") >= MET)
+    stars = written(stars.groupBy("a").agg(F.min(F.struct(-F.col("met"), F.col("b").alias("b"))).alias("m")).select("a", F.col("m.b").alias("b")))
     edges = confirmed(stars, sets, percent)
     first = written(components(edges))
 
     # what the first components leave open
     label = F.coalesce("component", "rep").alias("label")
-    labels = written(classes.select("rep", "sig").join(first, F.col("rep") == F.col("id"), "left").select("rep", "sig", label))
-    rows = rows.join(low.select("node", "n"), "node").join(labels, "rep").select("node", "rep", "label", "sig", "n")
+    rows = rows.join(low.select("node"), "node", "left_semi").join(first, F.col("rep") == F.col("id"), "left").select("node", "rep", label)
+    sketches = signed.where(usable).select(F.col("doc_id").alias("rep"), "sketch")
+    tokens = signed.where(usable).select(F.col("doc_id").alias("rep"), "tokens")
     found = None
-    for level in range(LEVELS):
+    for level in itertools.count():
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 1 AND x <> y").select("node", "n")
-        rows = written(rows.drop("n").join(nodes, "node"))
-        small = "true" if level == LEVELS - 1 else f"n <= {SMALL}"
-        new = pairs_within(rows.where(small), least)
+        rows = written(rows.join(nodes, "node"))
+        small = f"n <= {SMALL << level}"
+        new = written(pairs_within(rows.where(small).select("node", "rep", "label").join(sketches, "rep"), least))
         found = new if found is None else found.union(new)
         large = rows.where(f"NOT ({small})")
         if large.isEmpty():
             break
-        rows = written(branches(large.select("node", "rep", "label", "sig").withColumn("sig_", F.col("sig")), root=False).withColumnRenamed("sig_", "sig"))
+        rows = written(branches(large.select("node", "rep", "label").join(tokens, "rep")))
     rest = written(found.distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = confirmed(rest, sets, percent)
@@ -253,7 +249,6 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
             first = written(components(edges.union(more)))
 
     of = signed.select("doc_id", "n_shingles", "s1", "s2", F.expr(usable).alias("usable"))
-    reps = signed.where(usable).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = written(reps.join(first, F.col("rep") == F.col("id"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")))
     out = of.where("usable").join(reps, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     out = out.union(of.where("NOT usable").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -263,4 +258,15 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
 def keep(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` of which one document of each group stays, with their own columns."""
     gone = written(linked(docs, length, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS sh FROM d, unnest(range(1, greatest(len(w), 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), sn AS (SELECT s.*, n.n FROM s JOIN n USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM sn a JOIN sn b ON a.sh = b.sh AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {PERCENT} * (na + nb - c)), u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reach), c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

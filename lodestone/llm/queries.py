@@ -71,5 +71,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_source_mix": mixing.ORACLE_SQL,
         "op3_chat_format": chat.ORACLE_SQL,
+        "op5_substring_dedup": substring.ORACLE_SQL,
+        "op6_embedding_dedup": embed_dedup.ORACLE_SQL,
+        "op8_minhash_dedup": minhash.ORACLE_SQL,
         "op9_license_scan": licenses.oracle_sql(),
     }

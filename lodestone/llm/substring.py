@@ -323,3 +323,14 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = joined.where(F.col("new_text").isNull() | (F.col("new_text") != "") | (F.col("copy") & short))
     text = F.when(F.coalesce(F.col("new_text"), F.lit("")) != "", F.col("new_text")).otherwise(F.col("row.text"))
     return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {LENGTH - 1}], ' ')) AS h FROM d, unnest(range(1, len(w) - {LENGTH - 2})) AS t(i)),
+rep AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+cov AS (SELECT DISTINCT doc_id, i + k AS p FROM rep, unnest(range({LENGTH})) AS t(k)),
+wd AS (SELECT doc_id, w[p] AS word, p FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+o AS (SELECT wd.doc_id, count(*) AS n_words, count(cov.p) AS n_removed, string_agg(word, ' ' ORDER BY wd.p) FILTER (cov.p IS NULL) AS kept FROM wd LEFT JOIN cov ON wd.doc_id = cov.doc_id AND wd.p = cov.p GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""

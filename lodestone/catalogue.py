@@ -895,3 +895,40 @@ def rerank_ab_totals(spark, d):
 @query("SELECT user_id AS query, min(event_id) AS seq FROM events GROUP BY 1")
 def first_asked(spark, d):
     return evaluate.first_asked(tab(spark, d, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("seq")))
+
+
+# ---------------------------------------------------------------- further operators
+
+_HEADS = literal([(1, "255044462D312E37"), (2, "89504E470D0A1A0A00"), (3, "FFD8FFE0"), (4, "504B030414"), (5, "3C68746D6C3E"), (6, ""), (7, "474946383961")], "id, head")
+
+
+@query("SELECT * FROM " + literal([(1, ".pdf", 1, 0), (2, ".png", 0, 0), (3, ".jpg", 0, 0), (4, ".zip", 0, 0), (5, ".bin", 0, 1), (6, ".bin", 0, 0), (7, ".gif", 0, 0)], "id, suffix, is_pdf, is_html"))
+def file_signature(spark, d):
+    head = F.unhex("head")
+    return rows(spark, _HEADS).select("id", F.coalesce(T.detect_suffix(head), F.lit(".bin")).alias("suffix"), T.is_pdf(head).cast("int").alias("is_pdf"), T.looks_like_html(head).cast("int").alias("is_html"))
+
+
+@query("SELECT a.lang AS old_value, CASE WHEN a.doc_id % 9 = 0 THEN 'xx' ELSE a.lang END AS new_value, count(*) AS count FROM documents a GROUP BY 1, 2")
+def metadata_transitions(spark, d):
+    docs = tab(spark, d, "documents").select("doc_id", "lang")
+    return classify.transitions(docs, docs.withColumn("lang", F.when(F.col("doc_id") % 9 == 0, "xx").otherwise(F.col("lang"))), "doc_id", "lang")
+
+
+@query(
+    f"""WITH {_PINNED} SELECT query_id, pin, CASE WHEN q_family = 'UNKNOWN' THEN 'Code ' || code_key || ' on ' || product_family || ' equipment: "' || meaning || '" (source: Guide, p.7). No product was named, and other families may use this code: give every meaning by family.'
+  WHEN NOT any_own THEN 'Code ' || code_key || ' is not listed for the product asked about. On ' || product_family || ' equipment: "' || meaning || '" (source: Guide, p.7). Say so.' ELSE 'Code ' || code_key || ' [' || product_family || ']: "' || meaning || '" (source: Guide, p.7).' END AS line FROM y"""
+)
+def pinned_render(spark, d):
+    pins = retrieve.lookup_codes(_asked(spark), rows(spark, _CODE_ROWS), 100)
+    line = A.pinned_text(F.col("code_key"), F.col("product_family"), F.col("meaning"), F.lit("Guide"), F.lit("7"), F.col("ambiguous"), F.col("cross_family"))
+    return pins.select("query_id", "pin", line.alias("line"))
+
+
+@query(
+    "SELECT * FROM " + literal([(1, "ambiguous_code,single_document"), (2, "family_unresolved,no_results"), (3, "code_without_family,family_unresolved,many_families")], "query_id, flags")
+)
+def novice_flags(spark, d):
+    asked = spark.sql("SELECT * FROM VALUES (1, 'HP', array('E04')), (2, 'UNKNOWN', array()), (3, 'UNKNOWN', array('E07')) AS t(query_id, q_family, q_codes)")
+    found = rows(spark, literal([(1, "a", "HP"), (1, "a", "HP"), (3, "a", "HP"), (3, "b", "VRF"), (3, "c", "GAS")], "query_id, doc_id, product_family"))
+    pins = spark.createDataFrame([(1, True)], "query_id int, ambiguous boolean")
+    return understand.flags(asked, found, pins).select("query_id", F.array_join("flags", ",").alias("flags"))

@@ -193,6 +193,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` that are kept, with their own columns."""
+    """The rows of `docs` that are kept, with their own columns.
+
+    Rows are written together with their counts: a filter on the verdict would
+    else be pushed below the counts, which it would then take anew for each rule.
+    """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
-    return judge(measured(inner)).where("kept").select("row.*")
+    return judge(written(measured(inner).select("row", "q"))).where("kept").select("row.*")

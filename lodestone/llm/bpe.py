@@ -28,13 +28,14 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Pieces, and token pairs, remembered by a worker at most; the memory is then emptied.
-MEMO_LIMIT = 1_000_000
+MEMO_LIMIT = 600_000
 #: Longest piece that is remembered, in characters.
 MEMO_PIECE = 64
 #: Characters of a text that are split into pieces at a time.
@@ -260,21 +261,23 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str | None = None, text: s
     def run(batches):
         bpe = _worker(shared, key)
         for batch in batches:
-            lists = [memoryview(bpe.packed(t or "")).cast("I").tolist() for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
+            packed = [bpe.packed(t.as_py() or "") for t in batch.column(text)]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
     """`rows` with `ids` decoded to `text`; bytes that are not UTF-8 become U+FFFD, null ids the empty text."""
-    shared, key = _share(rows.sparkSession, vocabulary, pattern)
+    shared, _ = _share(rows.sparkSession, vocabulary, pattern)
     rows = rows.drop(text)
 
     def run(batches):
-        bpe = _worker(shared, key)
+        vocab = {rank: token for token, rank in shared.value[0].items()}
         for batch in batches:
-            texts = [b"".join([bpe.vocab[i] for i in x or ()]).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
+            texts = [b"".join([vocab[i] for i in x.as_py() or ()]).decode("utf-8", "replace") for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text, StringType())]))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a worker remembers at most; the memory is then emptied.
-MEMO_LIMIT = 1_000_000
+MEMO_LIMIT = 250_000
 
 
 class _Words(dict):

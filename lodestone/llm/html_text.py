@@ -5,9 +5,15 @@ The page is parsed to a tree; elements that are never an article's text
 reader comments) are taken out by element, role and class.  For every node
 that is left the characters for each tag are computed and adjusted for links;
 the sum of its children's densities says how much text hangs together below a
-node.  The container of the largest sum is the core.  The smallest density on
-the path from the core up to the body is the threshold: what stands beside
-that path stays if it is at least as dense and mostly no links.
+node.  The container of the largest sum is the core.  The outermost article
+around it, or else the main element, stays whole but for what was taken out;
+without either the core does.  On the way from there up to the body, what
+stands beside stays unless it is mostly links, however short it is: headlines,
+lead paragraphs, lists, further sections.  Outside of an article or main that
+holds the core, other things than articles and headlines stay only if they are
+also at least as dense as the thinnest node between the core and the body.  A
+mostly linked section or div beside the way is looked through for parts that
+are not.  Headings stay even if they are links.
 
 Blocks are joined in page order by a blank line, white space within a block
 becomes one space, character references are decoded; nothing else is dropped
@@ -46,6 +52,10 @@ DROPPED_WORDS = frozenset(
     " cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus replies"
     " respond pagination pager toolbar widget skip banner".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+HEADED = HEADINGS | {"article", "main"}
+TEXTUAL = frozenset("p blockquote pre".split())
+SECTIONS = frozenset("article center details div main section".split())
 #: An open element of the key ends where one of these opens.
 CLOSED_BY = {
     "p": BLOCK - {"body", "html", "option", "optgroup"},
@@ -188,15 +198,35 @@ def main_text(html: str | None) -> str:
             break
         at = parents[at]
     threshold = min((density[i] for i in path), default=0.0)
-    stays = [False] * n
+    # page order: the outermost is the first
+    root = next((i for i in sorted(path) if tags[i] == "article"), next((i for i in sorted(path) if tags[i] == "main"), core))
+    marked = next((i for i in sorted(path) if tags[i] in ("article", "main")), body)
+    path, at = set(), root
+    while True:
+        path.add(at)
+        if at == body:
+            break
+        at = parents[at]
+    stays, inside, looked = [False] * n, [False] * n, [False] * n
     for i in range(n):
         if gone[i] or not below[i]:
             continue
-        up = parents[i]
+        up, tag = parents[i], tags[i]
+        inside[i] = i == marked or inside[up]
         if i in path:
-            stays[i] = i == core
-        else:
-            stays[i] = stays[up] or (up in path and density[i] >= threshold and 2 * link_chars[i] <= chars[i] and chars[i] > 0)
+            stays[i] = i == root
+            looked[i] = i != root
+        elif stays[up]:
+            stays[i] = True
+        elif looked[up] and chars[i]:
+            wanted = inside[i] or tag in HEADED or density[i] >= threshold
+            linked = 2 * link_chars[i] > chars[i]
+            if linked and tag in TEXTUAL:
+                linked = link_chars[i] == chars[i]
+            if up in path and tag in HEADINGS:
+                linked = False
+            stays[i] = wanted and not linked
+            looked[i] = linked and tag in SECTIONS
 
     # text that stands in the path itself, beside its elements, is the page's too
     blocks: list[list[str]] = [[]]

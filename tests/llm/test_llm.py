@@ -351,6 +351,21 @@ def test_html():
     assert html_text.main_text(deep) == "deep text"
 
 
+def test_html_beside_the_densest():
+    text = lambda k, c: (c * 9 + " ") * (k // 9)
+    paragraphs = lambda n, k, c: "".join(f"<p>{text(k, c)}</p>" for _ in range(n))
+    kept = lambda html: set(html_text.main_text(html).replace("\n\n", " ").split())
+    links = "<ul>" + "<li><a href=x>qqqqqqqqq</a></li>" * 9 + "</ul>"
+    lead = f"<h1>{text(27, 'h')}</h1><p>{text(63, 'l')}</p><ul><li>{text(36, 'i')}</li></ul>"
+    for outer in ("main", "article", "div", "section"):
+        assert kept(f"<body><nav>menu</nav><{outer}>{lead}<div>{paragraphs(10, 300, 'a')}</div></{outer}></body>") == {c * 9 for c in "hlia"}, outer
+        assert kept(f"<body><{outer}><section>{paragraphs(5, 400, 'a')}</section><section>{paragraphs(5, 150, 'b')}</section></{outer}>{links}</body>") == {c * 9 for c in "ab"}, outer
+    deep = f"<section>{paragraphs(5, 400, 'a')}<section><section>{paragraphs(2, 60, 'b')}</section></section></section>"
+    assert kept(f"<body><article><header><h1><a href=x>{text(27, 'h')}</a></h1></header><div class=entry-content>{deep}</div></article></body>") == {c * 9 for c in "hab"}
+    assert kept(f"<body><h1>{text(27, 'h')}</h1><article>{paragraphs(5, 400, 'a')}</article><article>{paragraphs(2, 60, 'b')}</article><div>{text(18, 'z')}</div></body>") == {c * 9 for c in "hab"}
+    assert kept(f"<body><div><div>{links}<p>{text(63, 'l')}</p></div><div>{paragraphs(9, 300, 'a')}</div></div></body>") == {c * 9 for c in "la"}
+
+
 def test_html_rows(spark):
     schema = "page_id long, url string, html string"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>x y</p>")]

@@ -2,7 +2,11 @@
 
 The page is parsed to a tree; elements that are never an article's text
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are taken out by element, role and class.  For every node
+reader comments) are taken out by element, role and class.  A class or id
+counts by whole words of it, alone or with words that go with them (site-footer,
+not no-sidebar), and not where the element holds most of the page's unlinked
+text, unless an article or main that neither holds it nor lies in it has text.
+For every node
 that is left the characters for each tag are computed and adjusted for links;
 the sum of its children's densities says how much text hangs together below a
 node.  The container of the largest sum is the core.  The outermost article
@@ -52,10 +56,17 @@ DROPPED_WORDS = frozenset(
     " cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus replies"
     " respond pagination pager toolbar widget skip banner".split()
 )
+ARTICLE_WORDS = frozenset("comment comments ad advert advertisement sponsored promo".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 HEADED = HEADINGS | {"article", "main"}
 TEXTUAL = frozenset("p blockquote pre".split())
 SECTIONS = frozenset("article center details div main section".split())
+#: Words that may stand beside a dropped one in a class or id: site-footer, post-comments, ad-slot.  Any other word there makes it another name: no-sidebar, share-price.
+AFFIXES = frozenset(
+    "site page main global primary secondary top bottom left right middle side header head foot mobile desktop sticky fixed small large dark light inner outer wrapper wrap container"
+    " section area block box bar panel list items item links link buttons button icons icon group row slot unit zone title form thread post posts article articles entry blog user"
+    " reader message policy text js wp id trail bottombar leaderboard google gpt media menu menus".split()
+)
 #: An open element of the key ends where one of these opens.
 CLOSED_BY = {
     "p": BLOCK - {"body", "html", "option", "optgroup"},
@@ -71,6 +82,7 @@ CLOSED_BY = {
 #: Ends in these do not reach elements outside of them.
 SCOPE = frozenset("article aside body div footer form header html main nav section table td th ul ol dl".split())
 UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
+SEPARATORS = re.compile(r"[^a-z]+")
 BLANKS = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -130,10 +142,19 @@ def _dropped(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    words = {w for k in ("class", "id") if k in attrs for w in re.split(r"[^a-z]+", attrs[k].lower())}
-    if tag == "article":
-        return bool(words & {"comment", "comments", "ad", "advert", "advertisement", "sponsored", "promo"})
-    return attrs.get("role", "").lower() in DROPPED_ROLES or bool(words & DROPPED_WORDS)
+    return tag != "article" and attrs.get("role", "").lower() in DROPPED_ROLES
+
+
+def _named(tag: str, attrs: dict[str, str]) -> bool:
+    """A class or id says that this is no article's text."""
+    if not attrs or tag in ("html", "body", "main"):
+        return False
+    dropped = ARTICLE_WORDS if tag == "article" else DROPPED_WORDS
+    for token in " ".join((attrs.get("class", ""), attrs.get("id", ""))).lower().split():
+        words = {w for w in SEPARATORS.split(token) if w}
+        if words & dropped and words <= DROPPED_WORDS | AFFIXES:
+            return True
+    return False
 
 
 def main_text(html: str | None) -> str:
@@ -146,15 +167,33 @@ def main_text(html: str | None) -> str:
     n = len(tags)
     body = next((i for i in range(n) if tags[i] == "body"), 0)
 
+    named = [_named(tags[i], page.attrs[i]) for i in range(n)]
+    if any(named):
+        # an element that holds most of the unlinked text is not dropped by its name, unless an article or main elsewhere has text
+        hard, link, plain, last = [False] * n, [False] * n, [0] * n, list(range(n))
+        for i in range(1, n):
+            hard[i] = hard[parents[i]] or _dropped(tags[i], page.attrs[i])
+            link[i] = link[parents[i]] or tags[i] == "a"
+        for node, text in page.items:
+            if text is not None and not hard[node] and not link[node]:
+                plain[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[parents[i]] += plain[i]
+            last[parents[i]] = max(last[parents[i]], last[i])
+        texts = [i for i in range(n) if tags[i] in ("article", "main") and not named[i] and plain[i]]
+        for i in range(n):
+            if named[i] and 2 * plain[i] > plain[0] and all(k <= i <= last[k] or i < k <= last[i] for k in texts):
+                named[i] = False
+
     holds = [False] * n  # an article or the main element lies below
     for i in range(n - 1, 0, -1):
-        holds[parents[i]] = holds[parents[i]] or holds[i] or (tags[i] in ("article", "main") and not _dropped(tags[i], page.attrs[i]))
+        holds[parents[i]] = holds[parents[i]] or holds[i] or (tags[i] in ("article", "main") and not named[i] and not _dropped(tags[i], page.attrs[i]))
     gone, in_link, in_article = [False] * n, [False] * n, [False] * n
     for i in range(1, n):
         up, tag = parents[i], tags[i]
         in_link[i] = in_link[up] or tag == "a"
         in_article[i] = in_article[up] or tag in ("article", "main")
-        own = _dropped(tag, page.attrs[i]) and not (holds[i] and tag not in DROPPED)
+        own = (named[i] or _dropped(tag, page.attrs[i])) and not (holds[i] and tag not in DROPPED)
         if tag == "header":  # an article's own header has its headline
             own = not in_article[up]
         gone[i] = gone[up] or own

@@ -366,6 +366,19 @@ def test_html_beside_the_densest():
     assert kept(f"<body><div><div>{links}<p>{text(63, 'l')}</p></div><div>{paragraphs(9, 300, 'a')}</div></div></body>") == {c * 9 for c in "la"}
 
 
+def test_html_names():
+    body, rest = "<p>The body of the page has a few words.</p>" * 9, "<p>Some other text.</p>"
+    whole = html_text.main_text(f"<article>{body}</article>")
+    for name in ("content no-sidebar", "has-banner", "share-price", "comment-free", "sidebar", "widget"):
+        assert html_text.main_text(f'<body><article><h1>T</h1><div class="{name}">{body}</div></article></body>') == "T\n\n" + whole, name
+    assert html_text.main_text(f'<body><div id="ad-hoc-queries">{body}</div></body>') == whole
+    for name in ("no-sidebar", "has-banner", "share-price", "comment-free", "ad-hoc-queries"):  # small ones as well
+        assert "Some other text." in html_text.main_text(f'<body><article>{body}<div class="{name}">{rest}</div></article></body>'), name
+    for name in ("sidebar", "site-footer", "post-comments", "ad_1", "cookie-notice", "left-sidebar x", "main-nav", "ad-slot"):
+        assert html_text.main_text(f'<body><article>{body}<div class="{name}">{rest}</div></article></body>') == whole, name
+    assert html_text.main_text(f'<body><article>{rest}</article><div id="comments">{body}</div></body>') == "Some other text."
+
+
 def test_html_rows(spark):
     schema = "page_id long, url string, html string"
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>x y</p>")]

@@ -1,14 +1,24 @@
 """License scan: Dice coefficient over word bigrams, in DataFrame functions alone.
 
-A text is cut into segments: its lines, its blocks between blank lines, and
-the whole.  A segment is normalised (lower case, runs of other characters than
-letters and digits to one space) and compared to a licence template by the
-Dice coefficient 2 |A n B| / (|A| + |B|) of the two sets of word bigrams.  If
-that is to reach TAU, neither set can be much larger than the other: a
-template is a candidate only for segments of between TAU / (2 - TAU) and
-(2 - TAU) / TAU times its number of bigrams, repeats included, which prunes
-nearly all pairs before bigrams are made.  All of it happens within the row,
-so there is no shuffle and no hot key.
+A text is one sequence of words (lower case, runs of other characters than
+letters and digits to one space), whatever its lines and paragraphs, and every
+run of consecutive words is held against a licence template by the Dice
+coefficient 2 |A n B| / (|A| + |B|) of the two sets of word bigrams.  A template
+matches if its best run reaches TAU.
+
+The best run begins and ends with a bigram of the template, as others at its
+ends only add to |A| + |B|, and its first bigram is not found in it again, as
+the run after it has the same set.  To reach TAU a run must have
+TAU / (2 - TAU) of the template's bigrams and at most (2 - TAU) / TAU times
+their number of distinct ones, repeats aside.  So templates with too few of
+their bigrams in the text are left out first, and from each place where one of
+the others begins the distinct bigrams are followed up to that number.  None of
+this loses a run.  All of it happens within the row, so there is no shuffle and
+no hot key.
+
+`n_segments` is a count of the text's own parts (lines, blocks between blank
+lines, the whole; equal ones once) whose number of bigrams, repeats included,
+is within the bounds of some template.  It decides nothing.
 
 Defined results for odd input: null text is the empty text; a text without a
 match has no licences, a null `best` and best_dice 0.  Of equal coefficients
@@ -18,6 +28,8 @@ Extra columns are ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,29 +69,53 @@ def bigrams_of(template: str) -> list[str]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, tau: float = TAU) -> DataFrame:
-    """doc_id, n_segments (with a candidate template), licences (names by comma, in order), best, best_dice."""
+    """doc_id, n_segments (of the size of a template), licences (names by comma, in order), best, best_dice."""
+    least, most = tau / (2 - tau), (2 - tau) / tau
+    strings = "array<string>"
     sets = [(name, bigrams_of(text)) for name, text in sorted((templates or TEMPLATES).items())]
-    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(s)).alias("n"), F.array(*map(F.lit, s)).alias("s")) for name, s in sets])
+    known = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(len(s)).alias("n"), F.lit(math.ceil(len(s) * least - 1e-9)).alias("need"), F.lit(math.floor(len(s) * most + 1e-9)).alias("most"), F.array(*map(F.lit, s)).cast(strings).alias("s"))
+        for name, s in sets
+    ])
+    every = F.array(*map(F.lit, sorted({x for _, s in sets for x in s}))).cast(strings)
     # segments of these numbers of bigrams have a candidate
-    lowest, highest = (min(len(s) for _, s in sets) * tau / (2 - tau), max(len(s) for _, s in sets) * (2 - tau) / tau) if sets else (1, 0)
+    lowest, highest = (min(len(s) for _, s in sets) * least, max(len(s) for _, s in sets) * most) if sets else (1, 0)
+
+    def best_run(t: Column, own: Column, begin: Column) -> Column:
+        """The best Dice coefficient of the runs from place `begin` on."""
+        reach = 3 * t["n"]
+        again = F.array_position(F.slice(own, begin + 2, reach), F.get(own, begin)).cast("int")  # places to the next equal one
+        near = F.array_distinct(F.slice(own, begin + 1, F.when(again > 0, again).otherwise(reach)))
+        ended = (again > 0) | (F.size(near) >= t["most"]) | (begin + reach >= F.size(own))
+        followed = F.slice(F.when(ended, near).otherwise(F.array_distinct(F.slice(own, begin + 1, F.size(own)))), F.lit(1), t["most"])
+
+        def step(state: Column, x: Column) -> Column:
+            hit = F.array_contains(t["s"], x)
+            size, both = state["size"] + 1, state["both"] + hit.cast("int")
+            return F.struct(size.alias("size"), both.alias("both"), F.when(hit, F.greatest(state["d"], F.lit(2.0) * both / (t["n"] + size))).otherwise(state["d"]).alias("d"))
+
+        start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("both"), F.lit(0.0).alias("d"))
+        return let(followed, lambda run: F.when(F.size(F.array_intersect(t["s"], run)) >= t["need"], F.aggregate(run, start, step, lambda x: x["d"])).otherwise(F.lit(0.0)))
+
+    def matches(own: Column) -> Column:
+        def of(common: Column) -> Column:
+            candidates = F.filter(known, lambda t: (F.size(common) >= t["need"]) & (F.size(F.array_intersect(t["s"], common)) >= t["need"]))
+            begins = lambda t: let(F.array_intersect(t["s"], common), lambda c: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.array_contains(c, F.get(own, i))))
+            dice = lambda t: F.coalesce(F.array_max(F.transform(begins(t), lambda i: best_run(t, own, i))), F.lit(0.0))
+            return F.filter(F.transform(candidates, lambda t: F.struct((-dice(t)).alias("d"), t["name"].alias("name"))), lambda x: x["d"] <= -tau)
 
-    def fits(n: Column, size: Column) -> Column:
-        return (n >= size * tau / (2 - tau)) & (n <= size * (2 - tau) / tau)
+        return let(F.array_intersect(own, every), of)
 
-    def compared(words: Column) -> Column:
-        n = F.size(words) - 1
-        pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
-        dice = lambda t, own: F.lit(2.0) * F.size(F.array_intersect(t["s"], own)) / (t["n"] + F.size(own))
-        scored = let(pairs, lambda own: F.transform(F.filter(known, lambda t: fits(n, t["n"])), lambda t: F.struct((-dice(t, own)).alias("d"), t["name"].alias("name"))))
-        return F.filter(scored, lambda x: x["d"] <= -tau)
+    def bigrams(words: Column) -> Column:
+        return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast(strings))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blocks = F.split(text, r"\n[\x20\t\r]*\n")
-    segments = F.transform(F.array_distinct(F.flatten(F.array(F.split(text, "\n"), blocks, F.array(text)))), lambda s: F.split(normal(s), " "))
-    chosen = F.filter(segments, lambda w: (F.size(w) - 1 >= F.greatest(F.lit(1.0), F.lit(lowest))) & (F.size(w) - 1 <= F.lit(highest)))
-    found = F.sort_array(F.flatten(F.transform(F.col("segments"), compared)))
-    out = docs.select(F.col("doc_id").cast("long"), chosen.alias("segments")).select("doc_id", F.size("segments").cast("long").alias("n_segments"), found.alias("found"))
-    names = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["name"]))), ",")
+    sizes = F.transform(F.array_distinct(F.flatten(F.array(F.split(text, "\n"), blocks, F.array(text)))), lambda s: F.size(F.split(normal(s), " ")) - 1)
+    chosen = F.filter(sizes, lambda n: (n >= F.greatest(F.lit(1.0), F.lit(lowest))) & (n <= F.lit(highest)))
+    found = F.array_sort(let(let(F.split(normal(text), " "), bigrams), matches))
+    out = docs.select(F.col("doc_id").cast("long"), F.size(chosen).cast("long").alias("n_segments"), found.alias("found"))
+    names = F.array_join(F.array_sort(F.transform("found", lambda x: x["name"])), ",")
     return out.select("doc_id", "n_segments", names.alias("licences"), F.get("found", 0)["name"].alias("best"), F.coalesce(-F.get("found", 0)["d"], F.lit(0.0)).alias("best_dice"))
 
 

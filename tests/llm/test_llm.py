@@ -333,6 +333,35 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_across_lines(spark):
+    t = licenses.TEMPLATES
+    other = " ".join(f"w{i} x{i % 7}" for i in range(100))
+    cut = lambda text, *at: "\n\n".join(" ".join(text.split()[a:b]) for a, b in zip((0, *at), (*at, None), strict=True))
+    apache = "".join(f" * {' '.join(t['Apache-2.0-header'].split()[i : i + 11])}\n" for i in range(0, 99, 11))
+    rows = [
+        (1, f"{other}\n\n{cut(t['MIT-text'], 55, 82)}\n\n{other}"),
+        (2, f"{other}\n\n{cut(t['BSD-2-Clause'], 23, 40, 70)}\n{other}"),
+        (3, f"/*\n{apache} */\nimport a.b.c;\n\nclass A {{ {other} }}"),
+        (4, f"{other} The files here are released under the MIT License. {other}"),
+        (5, f"{other} under the license {other} of the software {other} released by them {other}"),
+    ]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: set(r.licences.split(",")) - {"Apache-2.0"} for k, r in out.items()} == {1: {"MIT-text"}, 2: {"BSD-2-Clause"}, 3: {"Apache-2.0-header"}, 4: {"MIT"}, 5: {""}}
+    assert all(out[k].best_dice == 1.0 for k in (1, 2, 4)) and out[3].best_dice > 0.95
+
+    def best(text, template):  # every run of words
+        w, have = re.sub(r"[\W_]+", " ", text.lower()).split(), set(licenses.bigrams_of(template))
+        b = [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
+        return max(2 * len(have & set(b[i:j])) / (len(have) + len(set(b[i:j]))) for i in range(len(b)) for j in range(i + 1, len(b) + 1))
+
+    rng = random.Random(5)
+    own = {"A": "a b c d e f g", "B": "b a b d e"}
+    texts = [" ".join(rng.choice(["a b", "c d", "e f", "g", "a", "d e", "x"]) for _ in range(rng.randrange(2, 16))) for _ in range(60)]
+    got = {r.doc_id: r.best_dice for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), own, 0.7).collect()}
+    want = {i: max(best(x, y) for y in own.values()) if " " in x else 0 for i, x in enumerate(texts)}
+    assert got == {i: d if d >= 0.7 else 0 for i, d in want.items()} and 5 < sum(d > 0 for d in got.values()) < 60
+
+
 # -- 10
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h2>Site</h2></header><nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies here, a lot of them, in each and every page.</div>

@@ -362,6 +362,15 @@ def test_licenses_across_lines(spark):
     assert got == {i: d if d >= 0.7 else 0 for i, d in want.items()} and 5 < sum(d > 0 for d in got.values()) < 60
 
 
+def test_licenses_repeated(spark):
+    t = licenses.TEMPLATES
+    thrice = lambda text: "\n".join(x for i in range(0, len(text.split()), 20) for x in [" ".join(text.split()[i : i + 20])] * 3)
+    rows = [(1, "Released under the MIT License. Released under the MIT License."), (2, " ".join([t["MIT-text"]] * 5)), (3, thrice(t["BSD-2-Clause"])), (4, t["Apache-2.0"].replace("Apache", "Apache " * 40))]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r.licences for k, r in out.items()} == {1: "MIT", 2: "MIT-text", 3: "BSD-2-Clause", 4: "Apache-2.0"}
+    assert out[1].best_dice == out[2].best_dice == 1.0
+
+
 # -- 10
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h2>Site</h2></header><nav><a href=1>Home</a></nav><div class="cookie-notice">We use cookies here, a lot of them, in each and every page.</div>

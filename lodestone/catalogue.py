@@ -863,8 +863,8 @@ def latest_feedback(spark, d):
 @query("""WITH log AS (SELECT doc_id AS seq, 'r' || doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 60)::VARCHAR END AS eval_id, trim(regexp_replace(lower(substr(text, 1, 40)), '\\s+', ' ', 'g')) AS k FROM documents), q AS (SELECT item_id::VARCHAR AS id, trim(regexp_replace(lower(substr(text, 1, 40)), '\\s+', ' ', 'g')) AS k FROM benchmark),
 i AS (SELECT eval_id, arg_max(query_id, seq) AS r FROM log WHERE eval_id IS NOT NULL GROUP BY 1), t AS (SELECT k, arg_max(query_id, seq) AS r FROM log GROUP BY 1) SELECT q.id, coalesce(i.r, t.r) AS query_id FROM q LEFT JOIN i ON i.eval_id = q.id LEFT JOIN t USING (k)""")
 def record_match(spark, d):
-    log = tab(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("r"), "doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 60).cast("string")).alias("eval_id"), F.substring("text", 1, 40).alias("query"))
-    q = tab(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("question"))
+    log = tab(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat(F.lit("r"), "doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 60).cast("string")).alias("eval_id"), F.col("text").alias("query"))
+    q = tab(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"))
     return evaluate.match_records(q, log).select("id", "query_id")
 
 

@@ -234,3 +234,12 @@ def test_streaming(spark, tmp_path):
 def test_family_ties(spark):
     assert of(spark, classify.document_family(F.col("c"), F.lit(""), F.lit(""), LEX), c="VRF Reverse Cycle") == "VRF"
     assert of(spark, classify.query_family(F.col("c"), LEX), c="nothing") == UNKNOWN
+
+
+def test_record_match_whole_texts(spark, tmp_path):
+    from lodestone import catalogue
+
+    start = "The same forty characters begin this text"
+    spark.createDataFrame([(1, f"{start} of one"), (2, f"{start}  OF two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(101, f"{start} of two"), (102, f"{start} of three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.id: r.query_id for r in catalogue.record_match(spark, str(tmp_path)).collect()} == {"101": "r2", "102": None}

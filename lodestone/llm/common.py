@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -16,18 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster's spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """The shared folder of the cluster's spark.checkpoint.dir; a folder of our own in the warehouse only where none is set, as in tests."""
     set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_ is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        set_ = tempfile.mkdtemp(prefix="lodestone-")
+        set_ = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone"
         spark.sparkContext.setCheckpointDir(set_)
     return set_
 
 
+#: For each `tidy` function that runs, what `written` wrote in it.
+_RUNNING: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
@@ -35,6 +36,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    if _RUNNING:
+        _RUNNING[-1].append(out)
     return out
 
 
@@ -45,9 +48,32 @@ def discard(df: DataFrame | None) -> None:
         jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+        df._lodestone_path = None
+
+
+def tidy(f):
+    """The result of `f` is written, and then all that was written on the way is deleted, also if `f` fails."""
+
+    @functools.wraps(f)
+    def run(*args, **named):
+        _RUNNING.append([])
+        try:
+            out = f(*args, **named)
+            inner, own = _RUNNING[-1], []
+            _RUNNING[-1] = own
+            out = written(out)
+            _RUNNING[-1] = inner
+        finally:
+            for df in _RUNNING.pop():
+                discard(df)
+        if _RUNNING:
+            _RUNNING[-1].append(out)
+        return out
+
+    return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected `edges` (a, b): rows (id, component), the smallest id of each.
 
     Alternates the large-star and small-star steps, which end in one star per
@@ -58,10 +84,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Nodes without an edge to another node do not occur in the result.
     """
     edges, state = _counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = (0,)
-    for _ in range(rounds):
-        if state == before or not state[0]:
-            break
+    before = None
+    while state[0] and state != before:
         before = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -73,8 +97,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = stars.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges, state = _counted(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
         discard(stars)
-    else:
-        raise RuntimeError(f"no stable components after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 

@@ -12,14 +12,19 @@ What is wanted are components, so work that cannot change them is left out:
 
 * documents with equal sets are one class, compared once;
 * documents that meet the smallest member of their nodes time and again are
-  held against that one first, and what is confirmed gives first components, which closes every node that lies
-  within one of them, however large a group of near copies it holds;
-* other nodes go on until they are small, and only pairs of different first
-  components are compared there.
-
-What counts as small doubles with every level: nodes that branching does not
-split hold documents that are alike, and are compared as they are, label by
-label in blocks.  So there is no cap on partners or candidates.
+  held against that one first, and what is confirmed gives first components,
+  which closes every node that lies within one of them;
+* a large node of which half or more is alike (estimated from its pivot, or in
+  the component of most of its members) is not branched again, as branching
+  would hardly split it: it is cut into blocks, in which its largest component
+  meets all others, so that its work is linear in that component;
+* each node or block first offers a spanning forest of its likeliest links, at
+  most one link fewer than it has components; only what is still apart when
+  these are confirmed is compared in full, on the sets themselves, and of that
+  too a spanning forest is given.
+
+So no pairs of a group are ever listed, and there is no cap on partners or
+candidates.  After LEVELS levels what is left goes into blocks whatever it is.
 
 Signatures only choose pairs (from an estimate of SIMILARITY - SLACK); every
 link is confirmed on the two full sets, 100 |A n B| >= 80 |A u B|.
@@ -34,7 +39,9 @@ result.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, discard, written
+from lodestone.llm.common import components, discard, tidy, written
 from lodestone.llm.shingles import mixed, shingle_set
 
 LENGTH = 2
@@ -51,6 +58,9 @@ COORDINATES = 128
 TREES = 12
 SMALL = 200
 SLACK = 0.12
+#: Members of the largest component of a node that are compared at a time, and levels of branching at most.
+BLOCK = 512
+LEVELS = 12
 #: First nodes, of about 15, that a document shares with the smallest of them before their sets are fetched for the first components.
 MET = 4
 
@@ -121,42 +131,122 @@ def branches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, rep long, label long")
 
 
-def pairs_within(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of each node whose signatures are alike and whose labels differ; rows (node, rep, label, sketch)."""
+def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For all rows of two blocks of sketches the number of places at which they agree."""
+    if len(x) * len(y) <= 1024:
+        return (x[:, None, :] == y[None, :, :]).sum(2)
+    out = np.zeros((len(x), len(y)), np.uint8 if COORDINATES < 256 else np.int32)
+    for k in range(COORDINATES):
+        out += x[:, k, None] == y[None, :, k]
+    return out.astype(np.int64)
+
+
+def merged(component: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components, numbered from 0, after the components of places a and b are joined."""
+    up = np.arange(component.max() + 1)
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, j in zip(component[a].tolist(), component[b].tolist(), strict=True):
+        i, j = top(i), top(j)
+        up[max(i, j)] = min(i, j)
+    return np.array([top(i) for i in range(len(up))])[component]
+
+
+def forest(weight: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links that join all labels which links of a weight over 0 join: in each round the heaviest of each component."""
+    component = np.unique(label, return_inverse=True)[1]
+    ends = [np.empty((0, 2), np.int64)]
+    while True:
+        weight = np.where(component[:, None] == component[None, :], 0, weight)
+        best, to = weight.max(1), weight.argmax(1)
+        order = np.lexsort((-best, component))
+        heads = order[np.concatenate([[True], np.diff(component[order]) != 0])]
+        heads = heads[best[heads] > 0]
+        if not len(heads):
+            found = np.concatenate(ends)
+            return found[:, 0], found[:, 1]
+        ends.append(np.unique(np.sort(np.stack([heads, to[heads]], 1), 1), axis=0))
+        component = merged(component, heads, to[heads])
+
+
+def _of_each(batches, key: str):
+    """The rows of each key, as dictionaries of arrays; batches are sorted by the key, and one key is held at a time."""
+    rest = None
+    for batch in _and_none(batches):
+        if batch is not None:
+            rest = pa.Table.from_batches([*(rest.to_batches() if rest is not None else ()), batch])
+        if rest is None or not rest.num_rows:
+            continue
+        table = rest.combine_chunks()
+        keys = table.column(key).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        full = len(keys) if batch is None else (int(cuts[-1]) if len(cuts) else 0)
+        if full:
+            columns = {c: _array(table.column(c)) for c in table.column_names}
+            edges = [0, *cuts[cuts < full].tolist(), full]
+            for i, j in zip(edges, edges[1:], strict=False):
+                yield {c: v[i:j] for c, v in columns.items()}
+        rest = table.slice(full)
+
+
+def _and_none(batches):
+    yield from batches
+    yield None
+
+
+def _array(column):
+    """A column as numpy array; binaries of COORDINATES bytes as matrix, others as list."""
+    if pa.types.is_binary(column.type):
+        values = column.to_pylist()
+        return np.frombuffer(b"".join(values), np.uint8).reshape(-1, COORDINATES) if all(len(x) == COORDINATES for x in values) else values
+    return column.to_numpy()
+
+
+def likeliest(cells: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of each cell: a spanning forest of the likeliest links between its labels; rows (cell, rep, label, sketch)."""
+    need = math.ceil(least * COORDINATES)
 
     def run(batches):
-        key, held = None, []
-
-        def compare():
-            rep, label = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
-            sig = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(-1, COORDINATES)
-            order = np.argsort(label, kind="stable")  # blocks of one label are skipped
-            rep, label, sig = rep[order], label[order], sig[order]
-            for s in range(0, len(rep), 64):
-                for t in range(s, len(rep), 64):
-                    x, y = slice(s, s + 64), slice(t, t + 64)
-                    differ = label[x, None] != label[None, y]
-                    if not differ.any():
-                        continue
-                    share = np.zeros(differ.shape)
-                    i, j = np.nonzero(differ & (rep[x, None] < rep[None, y]) if s == t else differ)
-                    share = (sig[x][i] == sig[y][j]).mean(1)
-                    good = share >= least
-                    a, b = rep[x][i[good]], rep[y][j[good]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        found = []
+        for own in _of_each(batches, "cell"):
+            like = likeness(own["sketch"], own["sketch"])
+            a, b = forest(np.where(like >= need, like, 0), own["label"])
+            if len(a):
+                found.append(np.stack([own["rep"][a], own["rep"][b]], 1))
+            if sum(map(len, found)) > 4096:
+                yield _pairs(found)
+                found = []
+        if found:
+            yield _pairs(found)
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.sort(np.concatenate(found), 1)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-        for batch in batches:
-            for node, *r in zip(*[batch.column(c).to_pylist() for c in ("node", "rep", "label", "sketch")], strict=True):
-                if node != key and held:
-                    yield from compare()
-                    held = []
-                key = node
-                held.append(r)
-        if held:
-            yield from compare()
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+def groups(cells: DataFrame, least: float) -> DataFrame:
+    """Rows (members) of each cell: documents that hang together by likely links between different labels; rows (cell, rep, label, sketch)."""
+    need = math.ceil(least * COORDINATES)
+
+    def run(batches):
+        for own in _of_each(batches, "cell"):
+            rep, label = own["rep"], own["label"]
+            weight = np.where((label[:, None] != label[None, :]) & (likeness(own["sketch"], own["sketch"]) >= need), 1, 0)
+            component = np.arange(len(rep))
+            component = merged(component, *forest(weight, component))
+            of = [np.sort(rep[component == c]) for c in np.unique(component[weight.any(1)])]
+            if of:
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.list_(pa.int64()))], names=["members"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "members array<long>").distinct()
 
 
 class _Sets:
@@ -209,6 +299,99 @@ def confirmed(pairs: DataFrame, sets: _Sets, percent: int = PERCENT) -> DataFram
     return written(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"))
 
 
+#: Entries of the sets of a group that are counted at a time; beyond it, its pairs are looked at one by one.
+ENTRIES = 4_000_000
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """For all pairs of sets the size of their intersection."""
+    n, sizes = len(sets), list(map(len, sets))
+    out = np.zeros((n, n), np.int64)
+    if n == 2 or sum(sizes) > ENTRIES:
+        for i in range(n):
+            for j in range(i):
+                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return out + np.diag(sizes)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who, several = np.repeat(np.arange(n), sizes), count[token] > 1
+    number = np.cumsum(count > 1) - 1
+    who, token = who[several], number[token[several]]
+    order = np.argsort(token, kind="stable")
+    who, token = who[order], token[order]
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        i, j = np.searchsorted(token, [at, at + 4096])
+        has = np.zeros((n, 4096), np.float32)  # sums of up to 4096 ones are exact
+        has[who[i:j], token[i:j] - at] = 1
+        out += (has @ has.T).astype(np.int64)
+    out[np.arange(n), np.arange(n)] = sizes
+    return out
+
+
+def within(members: DataFrame, sets: _Sets, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join what reaches the similarity on full sets in each group, a spanning forest; rows (group, rep, label)."""
+    own = sets.of(members.select("rep"))
+    if own is None:
+        return members.selectExpr("rep AS a", "rep AS b").where("false")
+
+    def run(batches):
+        for of in _of_each(batches, "group"):
+            full = [np.frombuffer(x, np.uint64) for x in of["own"]]
+            size = np.array(list(map(len, full)))
+            both = shared(full)
+            good = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0)
+            a, b = forest(good.astype(np.int64), of["label"])
+            if len(a):
+                yield _pairs([np.stack([of["rep"][a], of["rep"][b]], 1)])
+
+    rows = members.join(own, "rep").select("group", "rep", "label", "own")
+    return written(rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (cell, rep) from rows (node, rep, label, top, n, m): each node's largest component in blocks, of which each meets all chunks of the m others."""
+    number = lambda what, size: F.greatest(F.ceil(F.col(what) / size), F.lit(1)).cast("long")
+    rows = rows.withColumn("others", number("m", SMALL)).withColumn("blocks", F.greatest(F.ceil((F.col("n") - F.col("m")) / BLOCK), F.lit(1)).cast("long"))
+    main = F.col("label") == F.col("top")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit("place"), "rep"), F.when(main, F.col("blocks")).otherwise(F.col("others"))))
+    cell = lambda kind, x, y: F.xxhash64("node", F.lit(kind), x, y)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: cell("main", F.col("own"), j))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: cell("main", i, F.col("own")))
+    rest = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: j != F.col("own")), lambda j: cell("others", F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    return rows.select(F.explode(F.when(main, meets).otherwise(F.concat(met, rest))).alias("cell"), "rep")
+
+
+def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """Rows (cell, rep): where documents of different labels are compared; from rows (node, rep, label) of the first level."""
+    need = math.ceil(least * COORDINATES)
+
+    def alike(batches):
+        for batch in batches:
+            x, y = _array(batch.column("sketch")), _array(batch.column("pivot_sketch"))
+            near = pa.array((x == y).sum(1) >= need) if batch.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label", "top")], near], names=["node", "rep", "label", "top", "near"])
+
+    found = []
+    for level in itertools.count():
+        open_ = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 1 AND x <> y").select("node", "n")
+        rows = written(rows.join(open_, "node"))
+        found.append(rows.where(f"n <= {SMALL}").select(F.col("node").alias("cell"), "rep"))
+        large = rows.where(f"n > {SMALL}").select("node", "rep", "label")
+        if large.isEmpty():
+            break
+        of = large.groupBy("node", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "rep"), "rep"))["rep"].alias("pivot"))
+        top = of.groupBy("node").agg(F.max(F.struct("c", "label", "pivot")).alias("t")).select("node", F.col("t.label").alias("top"), F.col("t.pivot").alias("pivot"))
+        top = top.join(sketches.withColumnsRenamed({"rep": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "top", "pivot_sketch")
+        large = written(large.join(sketches, "rep").join(top, "node").mapInArrow(alike, "node long, rep long, label long, top long, near boolean"))
+        main = F.col("label") == F.col("top")
+        sums = large.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~main).alias("m"), F.count_if(main | F.col("near")).alias("near_n"))
+        sums = written(sums.withColumn("whole", (2 * F.col("near_n") >= F.col("n")) | F.lit(level + 1 >= LEVELS)))
+        found.append(_blocks(large.join(sums.where("whole").select("node", "n", "m"), "node")))
+        branching = large.join(sums.where("NOT whole").select("node"), "node", "left_semi").select("node", "rep", "label")
+        rows = written(branches(branching.join(tokens, "rep")))
+    return functools.reduce(DataFrame.union, found)
+
+
+@tidy
 def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     least = percent / 100 - SLACK
@@ -222,31 +405,34 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
     rows = written(signed.where(usable).select(F.col("doc_id").alias("rep"), F.explode("roots").alias("node")).join(ids, "rep", "left_semi").select("node", "rep"))
     low = written(rows.groupBy("node").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1"))
     stars = rows.join(low, "node").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("met")).where(F.col("met") >= MET)
-    stars = written(stars.groupBy("a").agg(F.min(F.struct(-F.col("met"), F.col("b").alias("b"))).alias("m")).select("a", F.col("m.b").alias("b")))
-    edges = confirmed(stars, sets, percent)
+    stars = stars.groupBy("a").agg(F.min(F.struct(-F.col("met"), F.col("b").alias("b"))).alias("m"))
+    tried = written(stars.select(F.col("m.b").alias("a"), F.col("a").alias("b")))  # the smaller one first, as it is the smallest of a node
+    edges = confirmed(tried, sets, percent)
     first = written(components(edges))
 
     # what the first components leave open
-    label = F.coalesce("component", "rep").alias("label")
-    rows = rows.join(low.select("node"), "node", "left_semi").join(first, F.col("rep") == F.col("id"), "left").select("node", "rep", label)
     sketches = signed.where(usable).select(F.col("doc_id").alias("rep"), "sketch")
     tokens = signed.where(usable).select(F.col("doc_id").alias("rep"), "tokens")
-    found = None
-    for level in itertools.count():
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 1 AND x <> y").select("node", "n")
-        rows = written(rows.join(nodes, "node"))
-        small = f"n <= {SMALL << level}"
-        new = written(pairs_within(rows.where(small).select("node", "rep", "label").join(sketches, "rep"), least))
-        found = new if found is None else found.union(new)
-        large = rows.where(f"NOT ({small})")
-        if large.isEmpty():
-            break
-        rows = written(branches(large.select("node", "rep", "label").join(tokens, "rep")))
-    rest = written(found.distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirmed(rest, sets, percent)
-        if not more.isEmpty():
-            first = written(components(edges.union(more)))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(first, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
+
+    cells = written(_cells(labelled(rows.join(low.select("node"), "node", "left_semi")).select("node", "rep", "label"), sketches, tokens, least))
+    likely = written(likeliest(labelled(cells).join(sketches, "rep"), least))
+    if not likely.isEmpty():
+        likely = written(likely.join(tried, ["a", "b"], "left_anti"))
+        edges, tried = edges.union(confirmed(likely, sets, percent)), tried.union(likely)
+        first = written(components(edges))
+        apart = labelled(cells)
+        open_ = apart.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
+        apart = written(groups(apart.join(open_, "cell", "left_semi").join(sketches, "rep"), least))
+        ends = {k: F.when(F.size("members") == 2, F.get("members", F.lit(k))) for k in (0, 1)}
+        apart = apart.join(tried, (ends[0] == F.col("a")) & (ends[1] == F.col("b")), "left_anti")
+        members = written(labelled(apart.select(F.xxhash64("members").alias("group"), F.explode("members").alias("rep"))))
+        if not members.isEmpty():
+            more = within(members, sets, percent)
+            if not more.isEmpty():
+                first = written(components(edges.union(more)))
 
     of = signed.select("doc_id", "n_shingles", "s1", "s2", F.expr(usable).alias("usable"))
     reps = written(reps.join(first, F.col("rep") == F.col("id"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")))
@@ -257,7 +443,7 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
 
 def keep(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` of which one document of each group stays, with their own columns."""
-    gone = written(linked(docs, length, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    gone = linked(docs, length, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: Pieces, and token pairs, remembered by a worker at most; the memory is then emptied.
 MEMO_LIMIT = 600_000
@@ -95,7 +95,7 @@ class ByteBpe:
             self.vocab[rank] = token
         self._tree = merge_tree(ranks) if tree is None else tree
         self._joins = {parts: rank for rank, parts in self._pairs_of(ranks)}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._automaton = ahocorasick.Automaton()
         for rank in self._tree:
             self._automaton.add_word(self.vocab[rank].decode("latin-1"), rank)
@@ -108,13 +108,13 @@ class ByteBpe:
         self._automaton.make_automaton()
         self._pieces = _PieceMemo(self)
 
-    def _pairs_of(self, ranks: dict[bytes, int]) -> Iterator[tuple[int, tuple[int, int]]]:
-        """Each pair of tokens whose joined bytes have a rank, and that rank."""
+    def _pairs_of(self, ranks: dict[bytes, int]) -> Iterator[tuple[int, int]]:
+        """Each pair of tokens whose joined bytes have a rank, as one number, and that rank."""
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    yield rank, (left, right)
+                    yield rank, left << 32 | right
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the bytes of the two tokens merge to just these two.
@@ -124,7 +124,7 @@ class ByteBpe:
         facing parts may not join while both exist.  Of equal ranks the left
         one merges first, which decides the ties.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= MEMO_LIMIT:
@@ -136,7 +136,7 @@ class ByteBpe:
         tree, joins = self._tree, self._joins
         until = float("inf")  # a join across the boundary of a rank below this would come first
         while True:
-            joined = joins.get((left, right))
+            joined = joins.get(left << 32 | right)
             if joined is not None and joined < until:
                 return False
             inner_left, inner_right = tree[left][1], tree[right][0]
@@ -157,7 +157,10 @@ class ByteBpe:
         at, last, token = 0, -1, self._longest(text, 0)
         while True:
             end = at + len(self.vocab[token])
-            fits = not dead[end] and (last < 0 or (pairs[last, token] if (last, token) in pairs else self.compatible(last, token)))
+            fits = not dead[end]
+            if fits and last >= 0:
+                known = pairs.get(last << 32 | token)
+                fits = self.compatible(last, token) if known is None else known
             if fits:
                 tokens.append(token)
                 if end == len(text):
@@ -253,20 +256,27 @@ def _share(spark: SparkSession, vocabulary: str, pattern: str | None):
     return spark.sparkContext.broadcast(_LOADED[at]), key
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with an added column `ids` array<int>; a column of that name is replaced."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str | None = None, text: str = "text", ids: str = "ids", checked: str | None = None) -> DataFrame:
+    """`docs` with an added column `ids` array<int>, and where `checked` names one, a boolean column whether they decode to the text's bytes; columns of these names are replaced."""
     shared, key = _share(docs.sparkSession, vocabulary, pattern)
-    docs = docs.drop(ids)
+    docs = docs.drop(ids, *([checked] if checked else []))
 
     def run(batches):
         bpe = _worker(shared, key)
         for batch in batches:
-            packed = [bpe.packed(t.as_py() or "") for t in batch.column(text)]
+            packed, same = [], []
+            for t in batch.column(text):
+                given = t.as_py() or ""
+                packed.append(bpe.packed(given))
+                if checked:
+                    same.append(bpe.decode(packed[-1]) == given.encode("utf-8"))
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+            more = {ids: lists} | ({checked: pa.array(same, pa.bool_())} if checked else {})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
+    added = [StructField(ids, ArrayType(IntegerType())), *([StructField(checked, BooleanType())] if checked else [])]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -208,7 +208,7 @@ def _array(column):
 
 
 def likeliest(cells: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of each cell: a spanning forest of the likeliest links between its labels; rows (cell, rep, label, sketch)."""
+    """Rows (cell, a, b): for each cell a spanning forest of the likeliest links between its labels; from rows (cell, rep, label, sketch)."""
     need = math.ceil(least * COORDINATES)
 
     def run(batches):
@@ -217,19 +217,21 @@ def likeliest(cells: DataFrame, least: float) -> DataFrame:
             like = likeness(own["sketch"], own["sketch"])
             a, b = forest(np.where(like >= need, like, 0), own["label"])
             if len(a):
-                found.append(np.stack([own["rep"][a], own["rep"][b]], 1))
+                found.append(np.stack([own["rep"][a], own["rep"][b], np.repeat(own["cell"][:1], len(a))], 1))
             if sum(map(len, found)) > 4096:
                 yield _pairs(found)
                 found = []
         if found:
             yield _pairs(found)
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, cell long")
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    ends = np.sort(np.concatenate(found), 1)
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+    """Pairs, the smaller end first, and what stands beside them."""
+    found = np.concatenate(found)
+    found[:, :2].sort(1)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(found.shape[1])], names=["a", "b", "cell"][: found.shape[1]])
 
 
 def groups(cells: DataFrame, least: float) -> DataFrame:
@@ -420,10 +422,10 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
     cells = written(_cells(labelled(rows.join(low.select("node"), "node", "left_semi")).select("node", "rep", "label"), sketches, tokens, least))
     likely = written(likeliest(labelled(cells).join(sketches, "rep"), least))
     if not likely.isEmpty():
-        likely = written(likely.join(tried, ["a", "b"], "left_anti"))
-        edges, tried = edges.union(confirmed(likely, sets, percent)), tried.union(likely)
+        pairs = written(likely.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        edges, tried = edges.union(confirmed(pairs, sets, percent)), tried.union(pairs)
         first = written(components(edges))
-        apart = labelled(cells)
+        apart = labelled(cells.join(likely.select("cell").distinct(), "cell", "left_semi"))
         open_ = apart.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
         apart = written(groups(apart.join(open_, "cell", "left_semi").join(sketches, "rep"), least))
         ends = {k: F.when(F.size("members") == 2, F.get("members", F.lit(k))) for k in (0, 1)}

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, written
+from lodestone.llm.common import WORD, tidy, written
 
 WEIGHTS = (1, 2, 3)
 #: No document, and so no source, is taken more often than this.
@@ -98,6 +98,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"))
 
 
+@tidy
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     return copies(sizes(docs), seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -106,20 +107,28 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is emitted, with its own columns.
 
-    Copies of one document stay together; what is joined back to the texts is a
-    number for each (doc_id, digest of the row), spread like the documents.
+    What is joined to the texts, which are shuffled once, is a number for each
+    digest of a whole row.  Equal rows are interchangeable: their copies are
+    pooled, each gets the same whole number of them, and what is left over is
+    emitted once for each key, from any of its rows.  No window holds a key.
     """
     cols = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", "source", "text").withColumn("key", F.sha2(F.to_json(F.struct("doc_id", "source", "text")), 256))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), "doc_id", "source", "text").withColumn("key", F.sha2(F.to_json("row"), 256))
     slim = keyed.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size_of(F.col("text")).alias("size"), "key")
-    # equal rows are interchangeable: their copies are pooled and dealt out evenly
+    number = _numbers(slim, seed)
+    each = keyed.join(number.where("each > 0").select("key", "each"), "key").select("row", "each")
+    left = number.where("more > 0")
+    if not left.isEmpty():
+        some = keyed.join(left.select("key", "more"), "key").groupBy("key").agg(F.first("row").alias("row"), F.first("more").alias("each"))
+        each = each.union(some.select("row", "each"))
+    return each.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("each")))).select("row.*")
+
+
+@tidy
+def _numbers(slim: DataFrame, seed: str) -> DataFrame:
+    """key, each, more: of the copies of all rows of a key what each of them gets, and the rest, which one of them gets."""
     number = copies(slim, seed).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    shared = Window.partitionBy("key").orderBy("doc_id")
-    once = keyed.join(number.where("rows = 1 AND copies > 0"), "key")
-    many = keyed.join(number.where("rows > 1 AND copies > 0"), "key").withColumn("n", F.row_number().over(shared))
-    many = many.withColumn("copies", F.floor(F.col("copies") * F.col("n") / F.col("rows")) - F.floor(F.col("copies") * (F.col("n") - 1) / F.col("rows")))
-    out = once.select("row", "copies").union(many.select("row", "copies")).where("copies > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    return number.select("key", F.when(F.col("rows") == 1, F.col("copies")).otherwise(F.floor(F.col("copies") / F.col("rows"))).alias("each"), F.when(F.col("rows") > 1, F.col("copies") % F.col("rows")).otherwise(F.lit(0)).alias("more"))
 
 
 ORACLE_SQL = r"""

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, written
+from lodestone.llm.common import WORD, tidy, written
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -183,6 +183,7 @@ def _base_failed(q: Column) -> Column:
     return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
 
 
+@tidy
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, kept, quality of every document.
 

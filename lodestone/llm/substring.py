@@ -38,8 +38,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, discard, written
-from lodestone.llm.shingles import window_hashes, word_hashes
+from lodestone.llm.common import WORD, discard, tidy, written
+from lodestone.llm.shingles import mixed, window_hashes, word_hashes
 
 LENGTH = 20
 #: Windows that a batch holds together.
@@ -106,12 +106,14 @@ def _unpack(payload: bytes) -> list[np.ndarray]:
     return out
 
 
-def _starts_rows(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> list[dict]:
+def _starts_rows(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, buckets: int) -> list[dict]:
+    """One row for each document, dealt by a hash of it over all buckets."""
     order = np.lexsort((starts, keys, docs))
     docs, keys, starts = docs[order], keys[order], starts[order]
     cut = np.flatnonzero((np.diff(docs) != 0) | (np.diff(keys) != 0)) + 1
     heads = np.concatenate([[0], cut]) if len(docs) else []
-    return [{"kind": STARTS, "bucket": int(docs[h] % 32), "doc": int(docs[h]), "key": int(keys[h]), "starts": np.unique(x).tolist()} for h, x in zip(heads, np.split(starts, cut), strict=False)]
+    bucket = mixed(docs.astype(np.uint64)) % np.uint64(buckets)
+    return [{"kind": STARTS, "bucket": int(bucket[h]), "doc": int(docs[h]), "key": int(keys[h]), "starts": np.unique(x).tolist()} for h, x in zip(heads, np.split(starts, cut), strict=False)]
 
 
 def _sorted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -142,7 +144,7 @@ def _resolve(columns: list[np.ndarray], buckets: int, later_only: bool):
         known = several | ~new
         sent = new
         columns[2], columns[3], columns[4] = (np.where(known, v, c) for c, v in zip(columns[2:], (0, 0, 0xFFFFFFFF), strict=True))
-    rows = _starts_rows(docs[known], keys[known], starts[known])
+    rows = _starts_rows(docs[known], keys[known], starts[known], buckets)
     sent = [c[sent] for c in columns]
     bucket = (sent[0] >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
@@ -171,7 +173,7 @@ def _reduced(rows: DataFrame, later_only: bool) -> DataFrame:
                 several = np.zeros(len(new), bool)
                 several[:-1] |= ~new[1:]
                 good = (several | ~new) & (starts != 0xFFFFFFFF)
-            out = _starts_rows(docs[good], keys[good], starts[good])
+            out = _starts_rows(docs[good], keys[good], starts[good], 1)
             for k in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_pylist(out[k : k + 4096], schema=_ARROW).select(["doc", "key", "starts"])
 
@@ -291,6 +293,7 @@ def _shortened_texts(lost: DataFrame, length: int) -> DataFrame:
     return lost.mapInArrow(run, "doc long, key long, n_removed long, new_text string")  # repeated rows repeat here
 
 
+@tidy
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     lost, copies = shortened(docs, length)
@@ -311,10 +314,16 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
+@tidy
+def _marks(docs: DataFrame, length: int) -> DataFrame:
+    """doc, key, new_text, copy of the rows that lose words."""
+    lost, copies = shortened(docs, length)
+    return _shortened_texts(lost, length).select("doc", "key", "new_text", F.lit(False).alias("copy")).union(copies.select("doc", "key", F.lit(""), F.lit(True))).dropDuplicates(["doc", "key"])
+
+
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with repeated passages removed from `text`; rows that keep no word by that go, unchanged texts stay as they are."""
-    lost, copies = shortened(docs, length)
-    marks = _shortened_texts(lost, length).select("doc", "key", "new_text", F.lit(False).alias("copy")).union(copies.select("doc", "key", F.lit(""), F.lit(True))).dropDuplicates(["doc", "key"])
+    marks = _marks(docs, length)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(doc.alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(marks, ["doc", "key"], "left")

@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return set_
 
 
+#: Rows that go to a Python worker at a time when something is written: rows here hold texts or sets.
+BATCH = 2000
 #: For each `tidy` function that runs, what `written` wrote in it.
 _RUNNING: list[list[DataFrame]] = []
 
@@ -33,7 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     if _RUNNING:
@@ -84,18 +92,22 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without an edge to another node do not occur in the result.
     """
     edges, state = _counted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while state[0] and state != before:
-        before = state
+    while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above u move to the smallest of u's neighbourhood
-        stars = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        discard(edges)
+        stars, moved = _counted(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        if moved == state:  # nothing has moved
+            discard(stars)
+            low = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+            if low.isEmpty():  # and all have one neighbour below: stars
+                break
+            stars = edges
         # small star: u and its smaller neighbours move to the smallest of these
         low = stars.groupBy("u").agg(F.min("v").alias("m"))
-        moved = stars.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges, state = _counted(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
+        closer = stars.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        before, (edges, state) = edges, _counted(closer.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         discard(stars)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

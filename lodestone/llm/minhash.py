@@ -61,6 +61,8 @@ SLACK = 0.12
 #: Members of the largest component of a node that are compared at a time, and levels of branching at most.
 BLOCK = 512
 LEVELS = 12
+#: One in so many rows of large nodes must be alike to its pivot and of another component for these to be held against the pivots first.
+GAIN = 16
 #: First nodes, of about 15, that a document shares with the smallest of them before their sets are fetched for the first components.
 MET = 4
 
@@ -117,7 +119,7 @@ def signatures(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def branches(rows: DataFrame) -> DataFrame:
-    """Rows (node, rep, label) of the next level from rows (node, rep, label, tokens)."""
+    """Rows (node, rep) of the next level from rows (node, rep, tokens)."""
 
     def run(batches):
         for batch in batches:
@@ -125,10 +127,9 @@ def branches(rows: DataFrame) -> DataFrame:
             node = batch.column("node").to_numpy().view(np.uint64)
             for k, (at, coordinate) in enumerate(chosen(node)):
                 to = step(node[at], k, coordinate, tokens[at, coordinate.astype(np.int64)].astype(np.uint64))
-                kept = batch.select(["rep", "label"]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), *kept.columns], names=["node", "rep", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), batch.column("rep").take(pa.array(at))], names=["node", "rep"])
 
-    return rows.mapInArrow(run, "node long, rep long, label long")
+    return rows.mapInArrow(run, "node long, rep long")
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -302,7 +303,7 @@ def confirmed(pairs: DataFrame, sets: _Sets, percent: int = PERCENT) -> DataFram
 
 
 #: Entries of the sets of a group that are counted at a time; beyond it, its pairs are looked at one by one.
-ENTRIES = 4_000_000
+ENTRIES = 1_000_000
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -362,33 +363,82 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.when(main, meets).otherwise(F.concat(met, rest))).alias("cell"), "rep")
 
 
-def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """Rows (cell, rep): where documents of different labels are compared; from rows (node, rep, label) of the first level."""
+class _Links:
+    """What is known of links while they are sought: pairs that were tried, confirmed ones, and the components these give."""
+
+    def __init__(self, sets: _Sets, percent: int):
+        self.sets, self.percent, self.tried, self.edges, self.first = sets, percent, None, None, None
+
+    def hold(self, pairs: DataFrame) -> None:
+        """Confirms pairs (a, b), a < b, that were not tried before; `pairs` is written."""
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        edges = confirmed(pairs, self.sets, self.percent)
+        self.edges = edges if self.edges is None else self.edges.union(edges)
+
+    def new(self, pairs: DataFrame) -> DataFrame:
+        return written(pairs.distinct().join(self.tried, ["a", "b"], "left_anti"))
+
+    def star(self) -> None:
+        """First components where each b has one link to a smaller a: two steps along these, which need not be the last."""
+        step = self.edges.select(F.col("b").alias("id"), F.col("a").alias("component")).distinct()
+        for _ in range(2):
+            on = step.select(F.col("id").alias("at"), F.col("component").alias("to"))
+            step = written(step.join(on, F.col("component") == F.col("at"), "left").select("id", F.coalesce("to", "component").alias("component")))
+        self.first = step
+
+    def join(self, more: DataFrame | None = None) -> None:
+        self.first = written(components(self.edges if more is None else self.edges.union(more)))
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with a column `rep`, and their components so far as `label`."""
+        return rows.join(self.first, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
+
+
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of rows (key, label) that hold different labels, with the number of their rows."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(key, "n")
+
+
+def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Links, least: float) -> DataFrame:
+    """Rows (cell, rep): where documents of different labels are compared; from rows (node, rep) of the first level.
+
+    The alike members of a large node are first held against its pivot, one of
+    its largest component and another one in each node, so that few are left
+    beside that component when the node is cut into blocks.
+    """
     need = math.ceil(least * COORDINATES)
 
     def alike(batches):
         for batch in batches:
             x, y = _array(batch.column("sketch")), _array(batch.column("pivot_sketch"))
             near = pa.array((x == y).sum(1) >= need) if batch.num_rows else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label", "top")], near], names=["node", "rep", "label", "top", "near"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label", "pivot", "top")], near], names=["node", "rep", "label", "pivot", "top", "near"])
 
     found = []
+    main = F.col("label") == F.col("top")
     for level in itertools.count():
-        open_ = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 1 AND x <> y").select("node", "n")
-        rows = written(rows.join(open_, "node"))
+        rows = links.labelled(rows)
+        rows = written(rows.join(_open(rows, "node"), "node"))
         found.append(rows.where(f"n <= {SMALL}").select(F.col("node").alias("cell"), "rep"))
         large = rows.where(f"n > {SMALL}").select("node", "rep", "label")
         if large.isEmpty():
             break
         of = large.groupBy("node", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "rep"), "rep"))["rep"].alias("pivot"))
         top = of.groupBy("node").agg(F.max(F.struct("c", "label", "pivot")).alias("t")).select("node", F.col("t.label").alias("top"), F.col("t.pivot").alias("pivot"))
-        top = top.join(sketches.withColumnsRenamed({"rep": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "top", "pivot_sketch")
-        large = written(large.join(sketches, "rep").join(top, "node").mapInArrow(alike, "node long, rep long, label long, top long, near boolean"))
-        main = F.col("label") == F.col("top")
-        sums = large.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~main).alias("m"), F.count_if(main | F.col("near")).alias("near_n"))
+        top = top.join(sketches.withColumnsRenamed({"rep": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "top", "pivot", "pivot_sketch")
+        large = written(large.join(sketches, "rep").join(top, "node").mapInArrow(alike, "node long, rep long, label long, pivot long, top long, near boolean"))
+        pairs = links.new(large.where(F.col("near") & ~main).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
+        if GAIN * pairs.count() >= large.count():
+            links.hold(pairs)
+            links.join()
+        # the pivot's component now; it was the largest before
+        large = links.labelled(large.drop("label"))
+        tops = links.labelled(top.select("node", F.col("pivot").alias("rep"))).select("node", F.col("label").alias("top"))
+        large = large.drop("top").join(tops, "node")
+        sums = large.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~main).alias("m"), F.count_if(main | F.col("near")).alias("near_n")).where("m > 0")
         sums = written(sums.withColumn("whole", (2 * F.col("near_n") >= F.col("n")) | F.lit(level + 1 >= LEVELS)))
         found.append(_blocks(large.join(sums.where("whole").select("node", "n", "m"), "node")))
-        branching = large.join(sums.where("NOT whole").select("node"), "node", "left_semi").select("node", "rep", "label")
+        branching = large.join(sums.where("NOT whole").select("node"), "node", "left_semi").select("node", "rep")
         rows = written(branches(branching.join(tokens, "rep")))
     return functools.reduce(DataFrame.union, found)
 
@@ -401,43 +451,36 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
     usable = "doc_id IS NOT NULL AND n_shingles > 0"
     reps = written(signed.where(usable).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     ids = reps.select("rep").distinct()
-    sets = _Sets(docs, length)
+    links = _Links(_Sets(docs, length), percent)
 
     # nodes of the first level; a document that often meets the smallest of its nodes is held against that one
     rows = written(signed.where(usable).select(F.col("doc_id").alias("rep"), F.explode("roots").alias("node")).join(ids, "rep", "left_semi").select("node", "rep"))
     low = written(rows.groupBy("node").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1"))
     stars = rows.join(low, "node").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("met")).where(F.col("met") >= MET)
     stars = stars.groupBy("a").agg(F.min(F.struct(-F.col("met"), F.col("b").alias("b"))).alias("m"))
-    tried = written(stars.select(F.col("m.b").alias("a"), F.col("a").alias("b")))  # the smaller one first, as it is the smallest of a node
-    edges = confirmed(tried, sets, percent)
-    first = written(components(edges))
+    links.hold(written(stars.select(F.col("m.b").alias("a"), F.col("a").alias("b"))))  # the smaller one first, as it is the smallest of a node
+    links.star()
 
     # what the first components leave open
     sketches = signed.where(usable).select(F.col("doc_id").alias("rep"), "sketch")
     tokens = signed.where(usable).select(F.col("doc_id").alias("rep"), "tokens")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(first, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
-
-    cells = written(_cells(labelled(rows.join(low.select("node"), "node", "left_semi")).select("node", "rep", "label"), sketches, tokens, least))
-    likely = written(likeliest(labelled(cells).join(sketches, "rep"), least))
-    if not likely.isEmpty():
-        pairs = written(likely.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        edges, tried = edges.union(confirmed(pairs, sets, percent)), tried.union(pairs)
-        first = written(components(edges))
-        apart = labelled(cells.join(likely.select("cell").distinct(), "cell", "left_semi"))
-        open_ = apart.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
-        apart = written(groups(apart.join(open_, "cell", "left_semi").join(sketches, "rep"), least))
+    cells = written(_cells(rows.join(low.select("node"), "node", "left_semi"), sketches, tokens, links, least))
+    likely = written(likeliest(links.labelled(cells).join(sketches, "rep"), least))
+    if likely.isEmpty():
+        links.join()
+    else:
+        links.hold(links.new(likely.select("a", "b")))
+        links.join()
+        apart = links.labelled(cells.join(likely.select("cell").distinct(), "cell", "left_semi"))
+        apart = written(groups(apart.join(_open(apart, "cell").select("cell"), "cell", "left_semi").join(sketches, "rep"), least))
         ends = {k: F.when(F.size("members") == 2, F.get("members", F.lit(k))) for k in (0, 1)}
-        apart = apart.join(tried, (ends[0] == F.col("a")) & (ends[1] == F.col("b")), "left_anti")
-        members = written(labelled(apart.select(F.xxhash64("members").alias("group"), F.explode("members").alias("rep"))))
+        apart = apart.join(links.tried, (ends[0] == F.col("a")) & (ends[1] == F.col("b")), "left_anti")
+        members = written(links.labelled(apart.select(F.xxhash64("members").alias("group"), F.explode("members").alias("rep"))))
         if not members.isEmpty():
-            more = within(members, sets, percent)
-            if not more.isEmpty():
-                first = written(components(edges.union(more)))
+            links.join(within(members, links.sets, percent))
 
     of = signed.select("doc_id", "n_shingles", "s1", "s2", F.expr(usable).alias("usable"))
-    reps = written(reps.join(first, F.col("rep") == F.col("id"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")))
+    reps = written(links.labelled(reps).select("s1", "s2", F.col("label").alias("component_id")))
     out = of.where("usable").join(reps, ["s1", "s2"]).select("doc_id", "n_shingles", "component_id")
     out = out.union(of.where("NOT usable").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -161,19 +161,24 @@ def _reduced(rows: DataFrame, later_only: bool) -> DataFrame:
     """(doc, key, starts) of what is repeated, from the packed rows of all batches: one bucket at a time."""
 
     def run(batches):
-        now, held = None, []
+        now, held, good = None, [], []
 
         def found():
+            """Of the bucket that is held, the entries that are repeated."""
             columns = [np.concatenate(c) for c in zip(*map(_unpack, held), strict=True)]
             columns, new, head = _sorted(columns)
             docs, keys, starts = columns[2:]
             if later_only:
-                good = (docs > docs[head]) | (starts > starts[head])
+                at = (docs > docs[head]) | (starts > starts[head])
             else:
                 several = np.zeros(len(new), bool)
                 several[:-1] |= ~new[1:]
-                good = (several | ~new) & (starts != 0xFFFFFFFF)
-            out = _starts_rows(docs[good], keys[good], starts[good], 1)
+                at = (several | ~new) & (starts != 0xFFFFFFFF)
+            return [docs[at], keys[at], starts[at]]
+
+        def said():
+            # a document's starts of all buckets go together
+            out = _starts_rows(*map(np.concatenate, zip(*good, strict=True)), 1)
             for k in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_pylist(out[k : k + 4096], schema=_ARROW).select(["doc", "key", "starts"])
 
@@ -185,12 +190,17 @@ def _reduced(rows: DataFrame, later_only: bool) -> DataFrame:
                 if kind != ENTRIES:
                     continue
                 if bucket != now and held:
-                    yield from found()
+                    good.append(found())
                     held = []
+                    if sum(len(g[0]) for g in good) >= HELD:
+                        yield from said()
+                        good = []
                 now = bucket
                 held.append(payload)
         if held:
-            yield from found()
+            good.append(found())
+        if good:
+            yield from said()
 
     dealt = rows.where(F.col("kind") != TEXT).select("kind", "bucket", "payload", "doc", "key", "starts").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     out = dealt.mapInArrow(run, "doc long, key long, starts array<int>")

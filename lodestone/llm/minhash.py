@@ -11,10 +11,13 @@ documents are compared exhaustively, larger ones branch again.
 What is wanted are components, so work that cannot change them is left out:
 
 * documents with equal sets are one class, compared once;
+* documents that meet the smallest member of their nodes time and again are
+  held against that one first, and what is confirmed gives first components,
+  which closes every node that lies within one of them;
 * a large node of which half or more is alike (estimated from its pivot, or in
   the component of most of its members) is not branched again, as branching
-  would hardly split it: its members are held against the pivot, another one
-  in each node, and then it is cut into blocks, in which its largest component
+  would hardly split it: its members are held against the likest of their
+  nodes' pivots, and then it is cut into blocks, in which its largest component
   meets all others, so that its work is linear in that component;
 * each node or block first offers a spanning forest of its likeliest links, at
   most one link fewer than it has components; only what is still apart when
@@ -61,6 +64,8 @@ BLOCK = 512
 LEVELS = 12
 #: One in so many rows of large nodes must be alike to its pivot and of another component for these to be held against the pivots first.
 GAIN = 16
+#: First nodes, of about 15, that a document shares with the smallest of them before their sets are fetched for the first components.
+MET = 4
 
 _G = np.random.default_rng(20)
 _A = _G.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -363,25 +368,32 @@ class _Links:
     """What is known of links while they are sought: pairs that were tried, confirmed ones, and the components these give."""
 
     def __init__(self, sets: _Sets, percent: int):
-        self.sets, self.percent, self.tried, self.edges, self.first = sets, percent, None, None, None
+        self.sets, self.percent = sets, percent
 
     def new(self, pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        return written(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"))
+        return written(pairs.distinct().join(self.tried, ["a", "b"], "left_anti"))
 
     def hold(self, pairs: DataFrame) -> None:
         """Confirms what `new` gave, and takes the components of all that is confirmed."""
-        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        self.tried = self.tried.union(pairs)
         self.join(confirmed(pairs, self.sets, self.percent))
 
-    def join(self, edges: DataFrame) -> None:
-        self.edges = edges if self.edges is None else self.edges.union(edges)
+    def star(self, pairs: DataFrame) -> None:
+        """The first pairs, one to a smaller a for each b: components are two steps along these, which need not be the last."""
+        self.tried = written(pairs)
+        self.edges = confirmed(self.tried, self.sets, self.percent)
+        step = self.edges.select(F.col("b").alias("id"), F.col("a").alias("component")).distinct()
+        for _ in range(2):
+            on = step.select(F.col("id").alias("at"), F.col("component").alias("to"))
+            step = written(step.join(on, F.col("component") == F.col("at"), "left").select("id", F.coalesce("to", "component").alias("component")))
+        self.first = step
+
+    def join(self, edges: DataFrame | None = None) -> None:
+        self.edges = self.edges if edges is None else self.edges.union(edges)
         self.first = written(components(self.edges))
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """Rows with a column `rep`, and their components so far as `label`."""
-        if self.first is None:
-            return rows.withColumn("label", F.col("rep"))
         return rows.join(self.first, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
 
 
@@ -402,8 +414,8 @@ def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Link
     def alike(batches):
         for batch in batches:
             x, y = _array(batch.column("sketch")), _array(batch.column("pivot_sketch"))
-            near = pa.array((x == y).sum(1) >= need) if batch.num_rows else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label", "pivot", "top")], near], names=["node", "rep", "label", "pivot", "top", "near"])
+            near = pa.array((x == y).sum(1).astype(np.int32) if batch.num_rows else [], pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label", "pivot", "top")], near], names=["node", "rep", "label", "pivot", "top", "like"])
 
     found = []
     main = F.col("label") == F.col("top")
@@ -417,14 +429,15 @@ def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Link
         of = large.groupBy("node", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "rep"), "rep"))["rep"].alias("pivot"))
         top = of.groupBy("node").agg(F.max(F.struct("c", F.xxhash64("node", "label"), "label", "pivot")).alias("t")).select("node", F.col("t.label").alias("top"), F.col("t.pivot").alias("pivot"))
         top = top.join(sketches.withColumnsRenamed({"rep": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "top", "pivot", "pivot_sketch")
-        large = written(large.join(sketches, "rep").join(top, "node").mapInArrow(alike, "node long, rep long, label long, pivot long, top long, near boolean"))
-        pairs = links.new(large.where(F.col("near") & ~main).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
+        large = written(large.join(sketches, "rep").join(top, "node").mapInArrow(alike, "node long, rep long, label long, pivot long, top long, like int"))
+        likest = large.where((F.col("like") >= need) & ~main).groupBy("rep").agg(F.max(F.struct("like", "pivot"))["pivot"].alias("pivot"))
+        pairs = links.new(likest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
         if GAIN * pairs.count() >= large.count():
             links.hold(pairs)
             # the pivot's component now; it was the largest before
             large = links.labelled(large.drop("label")).withColumnsRenamed({"label": "own_label", "rep": "own_rep", "pivot": "rep"})
-            large = links.labelled(large.drop("top")).select("node", F.col("own_rep").alias("rep"), F.col("own_label").alias("label"), F.col("label").alias("top"), "near")
-        sums = large.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~main).alias("m"), F.count_if(main | F.col("near")).alias("near_n")).where("m > 0")
+            large = links.labelled(large.drop("top")).select("node", F.col("own_rep").alias("rep"), F.col("own_label").alias("label"), F.col("label").alias("top"), "like")
+        sums = large.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~main).alias("m"), F.count_if(main | (F.col("like") >= need)).alias("near_n")).where("m > 0")
         sums = written(sums.withColumn("whole", (2 * F.col("near_n") >= F.col("n")) | F.lit(level + 1 >= LEVELS)))
         found.append(_blocks(large.join(sums.where("whole").select("node", "n", "m"), "node")))
         branching = large.join(sums.where("NOT whole").select("node"), "node", "left_semi").select("node", "rep")
@@ -442,12 +455,21 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
     ids = reps.select("rep").distinct()
     links = _Links(_Sets(docs, length), percent)
 
-    rows = signed.where(usable).select(F.col("doc_id").alias("rep"), F.explode("roots").alias("node")).join(ids, "rep", "left_semi").select("node", "rep")
+    # nodes of the first level; a document that often meets the smallest of its nodes is held against that one
+    rows = written(signed.where(usable).select(F.col("doc_id").alias("rep"), F.explode("roots").alias("node")).join(ids, "rep", "left_semi").select("node", "rep"))
+    low = rows.groupBy("node").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("node", "b")
+    stars = rows.join(low, "node").where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("met")).where(F.col("met") >= MET)
+    stars = stars.groupBy("a").agg(F.min(F.struct(-F.col("met"), F.col("b").alias("b"))).alias("m"))
+    links.star(stars.select(F.col("m.b").alias("a"), F.col("a").alias("b")))  # the smaller one first, as it is the smallest of a node
+
+    # what the first components leave open
     sketches = signed.where(usable).select(F.col("doc_id").alias("rep"), "sketch")
     tokens = signed.where(usable).select(F.col("doc_id").alias("rep"), "tokens")
-    cells = written(_cells(written(rows), sketches, tokens, links, least))
+    cells = written(_cells(rows, sketches, tokens, links, least))
     likely = written(likeliest(links.labelled(cells).join(sketches, "rep"), least))
-    if not likely.isEmpty():
+    if likely.isEmpty():
+        links.join()
+    else:
         links.hold(links.new(likely.select("a", "b")))
         apart = links.labelled(cells.join(likely.select("cell").distinct(), "cell", "left_semi"))
         apart = written(groups(apart.join(_open(apart, "cell").select("cell"), "cell", "left_semi").join(sketches, "rep"), least))

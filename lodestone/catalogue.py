@@ -21,7 +21,16 @@ from lodestone.plans.cascade import cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-LEXICON = Lexicon()
+#: Machines of a bakery: the lexicon that the queries on literal rows use.
+LEXICON = Lexicon({
+    "families": {
+        "OVEN": {"aliases": ["deck oven", "bread oven"], "category_patterns": ["Baking"], "model_codes": ["BK", "BK20"]},
+        "MIXER": {"aliases": ["kneader", "mixer"], "category_patterns": ["Mixing and Kneading", "Mixing"], "model_codes": ["DM7"]},
+        "PROOFER": {"aliases": ["proofer", "steam cabinet"], "category_patterns": ["Proving"], "model_codes": ["PV3", "PV-4S"]},
+    },
+    "doc_types": {"handbook": ["Handbook", "Daily Use"], "setup": ["Setup"], "repairs": ["Repair", "Faults"]},
+    "fault_code_patterns": [r"\b[EFH][\s:.-]?\d{1,2}\b", r"\b(?:fault|error)\s+code\s+(\w+)\b", r"\b\d{1,2}\s+flash(?:es)?\b"],
+})
 
 
 def query(sql: str | None = None):
@@ -232,7 +241,7 @@ def _settled(docs, counts):
 
 _LEX = literal([(f, t, p, i) for f, t, p, i in LEXICON.patterns()], "family, tier, pattern, position")
 _PLACES = literal(
-    [(1, "VRF Reverse Cycle Service", "Owner Manuals", "x"), (2, "DUCTED GAS HEATING", "Fault Finding", "GX3 guide"), (3, "Misc", "reverse cycle", "y"), (4, "Misc", "Other", "HP4/SP sheet"), (5, "Misc", "Other", "none"), (6, "Cooling", "evap pads", "EV-6S"), (7, "Add On Cooling", "wall control", "CT")],
+    [(1, "Mixing and Kneading Repair", "Daily Use", "x"), (2, "BAKING", "Faults", "BK20 list"), (3, "Misc", "bread oven", "y"), (4, "Misc", "Other", "DM7/BK sheet"), (5, "Misc", "Other", "none"), (6, "Rising", "steam cabinet setup", "PV-4S"), (7, "After Mixing", "wall panel", "PV3")],
     "id, category, folder, title",
 )
 _CODES = literal([(f, c, i) for f, c, i in LEXICON.model_codes()], "family, code, position")
@@ -268,11 +277,11 @@ def model_series_tokens(spark, d):
 
 
 @query(
-    f"""WITH p AS (SELECT * FROM {_PLACES}), n(needle) AS (VALUES ('vrf'), ('cycle'), ('misc')), h AS (SELECT id, category, needle, starts_with(lower(category), needle) AS pre FROM p JOIN n ON contains(lower(category), needle)),
+    f"""WITH p AS (SELECT * FROM {_PLACES}), n(needle) AS (VALUES ('mixing'), ('ing'), ('misc')), h AS (SELECT id, category, needle, starts_with(lower(category), needle) AS pre FROM p JOIN n ON contains(lower(category), needle)),
 s AS (SELECT *, bool_or(pre) OVER (PARTITION BY needle) AS any_pre FROM h) SELECT DISTINCT id, category FROM s WHERE pre OR NOT any_pre"""
 )
 def folder_prefix_then_substring(spark, d):
-    return classify.select_folders(rows(spark, _PLACES).select("id", "category"), ["vrf", "cycle", "misc"])
+    return classify.select_folders(rows(spark, _PLACES).select("id", "category"), ["mixing", "ing", "misc"])
 
 
 @query(r"""SELECT doc_id, regexp_matches(text, '(?i)\b(?:[EFH][\s:.\-]?\d{1,2}|FC\s?\d{1,2}|fault\s+code|error\s+code)\b') OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S {2,}\S'))) >= 3 AS signal FROM documents""")
@@ -411,10 +420,10 @@ def text_corruption(spark, d):
 
 
 _MANUAL = [
-    ("c1", "GAS", "Fault table\n| Code | Meaning |\n|---|---|\n| fault E:04 | Ignition failed on start |\n| E5 | no words here |"),
-    ("c2", "GAS", "If error code 8 shows, the flame sensor has failed. Call service.\nThe unit is 12 cm wide."),
-    ("c3", "HP", "An alarm of E4 means low pressure. 3 flashes is a lockout."),
-    ("c4", "HP", "Fault E4 was seen: high pressure protection has tripped and must be reset by hand."),
+    ("c1", "OVEN", "Fault table\n| Code | Meaning |\n|---|---|\n| fault E:04 | Ignition failed on start |\n| E5 | no words here |"),
+    ("c2", "OVEN", "If error code 8 shows, the flame sensor has failed. Call service.\nThe unit is 12 cm wide."),
+    ("c3", "MIXER", "An alarm of E4 means low pressure. 3 flashes is a lockout."),
+    ("c4", "MIXER", "Fault E4 was seen: high pressure protection has tripped and must be reset by hand."),
 ]
 
 
@@ -427,7 +436,7 @@ def code_sweep(spark, d):
     return CT.code_hits(_manual(spark), LEXICON).select("chunk_id", "code_key", "meaning", F.col("in_table").cast("int").alias("in_table"))
 
 
-@query("SELECT * FROM " + literal([("E04", "GAS", "c1", 1), ("FC08", "GAS", "c2", 0), ("E04", "HP", "c4", 0), ("FLASH3", "HP", "c3", 0)], "code_key, product_family, chunk_id, in_table"))
+@query("SELECT * FROM " + literal([("E04", "OVEN", "c1", 1), ("FC08", "OVEN", "c2", 0), ("E04", "MIXER", "c4", 0), ("FLASH3", "MIXER", "c3", 0)], "code_key, product_family, chunk_id, in_table"))
 def code_table_best(spark, d):
     return CT.code_table(CT.code_hits(_manual(spark), LEXICON)).select("code_key", "product_family", "chunk_id", F.col("in_table").cast("int").alias("in_table"))
 
@@ -615,8 +624,8 @@ def rerank_order_merge(spark, d):
     return retrieve.rerank_by_order(b, orders).select("query_id", "chunk_id", "rank", F.round("rerank_score", 9).alias("rerank_score"))
 
 
-_CODE_ROWS = literal([("E04", "GAS", "ignition"), ("E04", "HP", "low pressure"), ("E04", "VRF", "fan"), ("FC08", "GAS", "flame"), ("E07", "HP", "coil")], "code_key, product_family, meaning")
-_ASKED = literal([(1, "GAS", "E04,FC08"), (2, "UNKNOWN", "E04"), (3, "VRF", "E07,E04"), (4, "HP", "E99"), (5, "UNKNOWN", "E07,E04,FC08")], "query_id, q_family, q")
+_CODE_ROWS = literal([("E04", "OVEN", "ignition"), ("E04", "MIXER", "low pressure"), ("E04", "PROOFER", "fan"), ("FC08", "OVEN", "flame"), ("E07", "MIXER", "coil")], "code_key, product_family, meaning")
+_ASKED = literal([(1, "OVEN", "E04,FC08"), (2, "UNKNOWN", "E04"), (3, "PROOFER", "E07,E04"), (4, "MIXER", "E99"), (5, "UNKNOWN", "E07,E04,FC08")], "query_id, q_family, q")
 _PINNED = f"""c AS (SELECT * FROM {_CODE_ROWS}), a AS (SELECT query_id, q_family, unnest(string_split(q, ',')) AS code_key, generate_subscripts(string_split(q, ','), 1) AS pos FROM {_ASKED}), h AS (SELECT *, c.product_family = q_family AS own FROM a JOIN c USING (code_key)),
 x AS (SELECT *, bool_or(own) OVER (PARTITION BY query_id, pos) AS any_own FROM h), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, product_family) AS pin FROM x WHERE q_family = 'UNKNOWN' OR own OR NOT any_own)"""
 
@@ -665,8 +674,8 @@ def bm25_only_fallback(spark, d):
 # ---------------------------------------------------------------- understand
 
 _ASKS = [
-    (1, "the ducted heater is throwing E:04"), (2, "GH5 wiring diagram"), (3, "what size duct for a heat pump"), (4, "order a spare filter kit"), (5, "how often to clean the evap pads"), (6, "FC7"), (7, "vrf reverse cycle will not start"),
-    (8, "hello there"), (9, "error code 8 on HP4"), (10, "CT wall control shows 3 flashes"),
+    (1, "the deck oven is throwing E:04"), (2, "BK25 wiring diagram"), (3, "what size belt for a kneader"), (4, "order a spare filter kit"), (5, "how often to clean the proofer trays"), (6, "FC7"), (7, "mixing bowl lift will not start"),
+    (8, "hello there"), (9, "error code 8 on DM7"), (10, "PV3 wall panel shows 3 flashes"),
 ]
 _ASKS_SQL = literal(_ASKS, "query_id, query")
 
@@ -701,7 +710,7 @@ def query_family(spark, d):
     return _asks(spark).select("query_id", classify.query_family(F.col("query"), LEXICON).alias("family"))
 
 
-@query("SELECT * FROM " + literal([(1, ""), (2, "GH"), (3, ""), (4, ""), (5, ""), (6, ""), (7, ""), (8, ""), (9, "HP4"), (10, "CT")], "query_id, series"))
+@query("SELECT * FROM " + literal([(1, ""), (2, "BK"), (3, ""), (4, ""), (5, ""), (6, ""), (7, ""), (8, ""), (9, "DM7"), (10, "PV3")], "query_id, series"))
 def query_series(spark, d):
     return _asks(spark).select("query_id", F.array_join(understand.series(F.col("query"), LEXICON), ",").alias("series"))
 
@@ -711,7 +720,7 @@ def query_codes(spark, d):
     return _asks(spark).select("query_id", F.array_join(understand.codes(F.col("query"), LEXICON), ",").alias("codes"))
 
 
-@query("SELECT * FROM " + literal([(1, "GAS", "fault_diagnosis"), (2, "GAS", "installation"), (3, "HP", "specification"), (4, "UNKNOWN", "parts"), (5, "EVAP", "maintenance"), (6, "UNKNOWN", "fault_diagnosis"), (7, "VRF", "fault_diagnosis"), (8, "UNKNOWN", "general"), (9, "HP", "fault_diagnosis"), (10, "CTRL", "fault_diagnosis")], "query_id, family, intent"))
+@query("SELECT * FROM " + literal([(1, "OVEN", "fault_diagnosis"), (2, "OVEN", "installation"), (3, "MIXER", "specification"), (4, "UNKNOWN", "parts"), (5, "PROOFER", "maintenance"), (6, "UNKNOWN", "fault_diagnosis"), (7, "MIXER", "fault_diagnosis"), (8, "UNKNOWN", "general"), (9, "MIXER", "fault_diagnosis"), (10, "PROOFER", "fault_diagnosis")], "query_id, family, intent"))
 def query_understanding(spark, d):
     return understand.understand(_asks(spark), LEXICON).select("query_id", F.col("q_family").alias("family"), "intent")
 
@@ -928,7 +937,7 @@ def pinned_render(spark, d):
     "SELECT * FROM " + literal([(1, "ambiguous_code,single_document"), (2, "family_unresolved,no_results"), (3, "code_without_family,family_unresolved,many_families")], "query_id, flags")
 )
 def novice_flags(spark, d):
-    asked = spark.sql("SELECT * FROM VALUES (1, 'HP', array('E04')), (2, 'UNKNOWN', array()), (3, 'UNKNOWN', array('E07')) AS t(query_id, q_family, q_codes)")
-    found = rows(spark, literal([(1, "a", "HP"), (1, "a", "HP"), (3, "a", "HP"), (3, "b", "VRF"), (3, "c", "GAS")], "query_id, doc_id, product_family"))
+    asked = spark.sql("SELECT * FROM VALUES (1, 'MIXER', array('E04')), (2, 'UNKNOWN', array()), (3, 'UNKNOWN', array('E07')) AS t(query_id, q_family, q_codes)")
+    found = rows(spark, literal([(1, "a", "MIXER"), (1, "a", "MIXER"), (3, "a", "MIXER"), (3, "b", "PROOFER"), (3, "c", "OVEN")], "query_id, doc_id, product_family"))
     pins = spark.createDataFrame([(1, True)], "query_id int, ambiguous boolean")
     return understand.flags(asked, found, pins).select("query_id", F.array_join("flags", ",").alias("flags"))

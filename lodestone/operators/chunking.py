@@ -6,8 +6,10 @@ the definition where no tokenizer table can be fetched.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,17 +22,44 @@ TARGET, MOST, OVERLAP, LEAST_CHARS = 800, 1200, 120, 50
 TABLE_MOST = 6000
 
 
+def size_of(chars: int) -> int:
+    return max(1, int(chars / CHARS_PER_TOKEN) + 1)
+
+
 def size(text: str) -> int:
-    return max(1, int(len(text) / CHARS_PER_TOKEN) + 1) if text else 0
+    return size_of(len(text)) if text else 0
 
 
 def clip(text: str, most: int) -> str:
     return text[: int(most * CHARS_PER_TOKEN)]
 
 
+def runs(sizes: list[int], most: int, carried: Callable[[int, int], int] | None = None) -> Iterator[tuple[int, int]]:
+    """Cuts a row of sizes into runs [i, j) of a sum of at most `most`, each as long as it goes and of one at least.
+
+    `carried` says what of the run before stands in front of the next one, and counts there.
+    """
+    reach = [0, *itertools.accumulate(sizes)]
+    i = 0
+    room = most
+    while i < len(sizes):
+        j = max(i + 1, bisect.bisect_right(reach, reach[i] + room) - 1)
+        yield i, j
+        room = most - (carried(i, j) if carried and j < len(sizes) else 0)
+        i = j
+
+
+#: Where text may be broken, the best places first, and what joins parts again.
+BREAKS = ((re.compile(r"\n\s*\n"), "\n\n"), (re.compile(r"\n"), "\n"), (re.compile(r"(?<=[.!?])\s+"), "\n"))
+
+
 @dataclass
 class Splitter:
-    """Splits prose at paragraphs, else lines, else sentences, else anywhere; pieces overlap by their last words where room is left."""
+    """Breaks prose at paragraphs; what is over the ceiling by itself also at lines, then sentences, then anywhere.
+
+    The parts are put together in runs up to the target.  A run after the first
+    begins with the last words of the one before, if the ceiling leaves room.
+    """
 
     target: int = TARGET
     most: int = MOST
@@ -38,68 +67,51 @@ class Splitter:
 
     def __call__(self, text: str) -> list[str]:
         text = text.strip()
-        if not text:
-            return []
         if size(text) <= self.most:
-            return [text]
+            return [text] if text else []
+        parts = self.parts(text)
+        sizes = list(map(size, parts))
         pieces: list[str] = []
-        held: list[str] = []
-        weight = 0
-        for unit in self.units(text):
-            own = size(unit)
-            if held and weight + own > self.target:
-                pieces.append("\n\n".join(held))
-                tail = self.tail(pieces[-1])
-                # the ceiling counts more than the overlap
-                held = [tail] if tail and size(tail) + own <= self.most else []
-                weight = sum(map(size, held))
-            held.append(unit)
-            weight += own
-        if held:
-            pieces.append("\n\n".join(held))
-        return [p if size(p) <= self.most else clip(p, self.most) for p in pieces if p.strip()]
-
-    def units(self, text: str) -> Iterator[str]:
-        for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
-            yield from self.fitting(paragraph, [lambda t: t.split("\n"), lambda t: re.split(r"(?<=[.!?])\s+", t)])
-
-    def fitting(self, text: str, ways: list) -> Iterator[str]:
-        """The text if it fits, else its parts by the first way packed up to the ceiling, each fitted by the ways that are left."""
-        if size(text) <= self.most:
-            if text.strip():
-                yield text
-        elif ways:
-            for packed in self.packed(ways[0](text)):
-                yield from self.fitting(packed, ways[1:])
-        else:
-            while text and (head := clip(text, self.most)):
-                yield head
-                text = text[len(head) :].strip()
-
-    def packed(self, parts: Iterable[str]) -> Iterator[str]:
-        held: list[str] = []
-        weight = 0
-        for part in filter(None, map(str.strip, parts)):
-            own = size(part)
-            if held and weight + own > self.most:
-                yield "\n".join(held)
-                held, weight = [], 0
-            held.append(part)
-            weight += own
-        if held:
-            yield "\n".join(held)
-
-    def tail(self, text: str) -> str:
+        fronts = [""]
+
+        def carried(i: int, j: int) -> int:
+            front = self.ending("\n\n".join(filter(None, [fronts[-1], *parts[i:j]])))
+            fronts.append(front if size(front) + sizes[j] <= self.most else "")
+            return size(fronts[-1])
+
+        for i, j in runs(sizes, self.target, carried):
+            pieces.append(clip("\n\n".join(filter(None, [fronts[-1], *parts[i:j]])), self.most))
+        return pieces
+
+    def parts(self, text: str) -> list[str]:
+        """The text's paragraphs, and instead of those over the ceiling, their lines, sentences or cuts, packed up to it."""
+        parts = _broken(text, BREAKS[0][0])
+        for pattern, glue in BREAKS[1:]:
+            parts = [x for part in parts for x in ([part] if size(part) <= self.most else self._packed(_broken(part, pattern), glue))]
+        return [x for part in parts for x in self._cuts(part)]
+
+    def _packed(self, parts: list[str], glue: str) -> list[str]:
+        return [glue.join(parts[i:j]) for i, j in runs(list(map(size, parts)), self.most)]
+
+    def _cuts(self, part: str) -> Iterator[str]:
+        while size(part) > self.most and clip(part, self.most):
+            yield clip(part, self.most)
+            part = part[len(clip(part, self.most)) :].strip()
+        if part:
+            yield part
+
+    def ending(self, text: str) -> str:
         """The fewest last words that reach the overlap."""
         words = text.split()
-        if self.overlap <= 0 or not words:
+        if self.overlap <= 0:
             return ""
-        chars = -1
-        for n, word in enumerate(reversed(words), 1):
-            chars += len(word) + 1
-            if max(1, int(chars / CHARS_PER_TOKEN) + 1) >= self.overlap:
-                return " ".join(words[-n:])
-        return " ".join(words)
+        lengths = itertools.accumulate(len(w) + 1 for w in reversed(words))
+        n = next((n for n, chars in enumerate(lengths, 1) if size_of(chars - 1) >= self.overlap), len(words))
+        return " ".join(words[len(words) - n :])
+
+
+def _broken(text: str, pattern: re.Pattern) -> list[str]:
+    return [x for x in map(str.strip, pattern.split(text)) if x]
 
 
 def split_prose(df: DataFrame, text: str = "text", pieces: str = "pieces", splitter: Splitter | None = None) -> DataFrame:
@@ -117,7 +129,7 @@ def split_prose(df: DataFrame, text: str = "text", pieces: str = "pieces", split
 
 
 def pack_lines(lines: Column, most: int) -> Column:
-    """Lines packed in order up to `most` tokens, in generated functions: the fold of `Splitter.packed` without its fall-backs."""
+    """Lines packed in order up to `most` tokens, in generated functions: as `runs` of them."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("weight"))
 
     def step(a: Column, x: Column) -> Column:

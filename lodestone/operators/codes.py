@@ -25,7 +25,7 @@ def code_hits(chunks: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFr
     def run(batches):
         patterns = _compiled(lexicon)
         for batch in batches:
-            found = [list(sweep(t or "", patterns)) for t in batch.column(text).to_pylist()]
+            found = [sweep(t or "", patterns) for t in batch.column(text).to_pylist()]
             index = pa.array([i for i, hits in enumerate(found) for _ in hits], pa.int64())
             flat = [(at, h) for hits in found for at, h in enumerate(hits)]
             columns = {k: [h[k] for _, h in flat] for k in ("code", "code_key", "meaning", "evidence")}

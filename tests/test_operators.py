@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import codes as C
 from lodestone.functions import text as T
-from lodestone.lexicon import UNKNOWN, Lexicon
+from lodestone.catalogue import LEXICON as LEX
+from lodestone.lexicon import UNKNOWN
 from lodestone.operators import answer as A
 from lodestone.operators import chunking, classify, evaluate, index, manifest, retrieve, tables, understand
 from lodestone.plans import build, cascade, evaluation
 from lodestone.sources import files, jsonl, schemas, web
 
-LEX = Lexicon()
 
 
 def one(df):
@@ -62,7 +62,7 @@ def test_split_rows_repeats_headers():
 
 def test_boosts_multiply_and_keep_all(spark):
     df = spark.createDataFrame(
-        [(1, "a", 1.0, "diagnostic_article", "GAS", ["GH"], ["E04"], "GAS", ["gh"], ["e04"]), (1, "b", 2.0, "pdf", UNKNOWN, None, [], UNKNOWN, ["x"], [])],
+        [(1, "a", 1.0, "diagnostic_article", "OVEN", ["BK2"], ["E04"], "OVEN", ["bk2"], ["e04"]), (1, "b", 2.0, "pdf", UNKNOWN, None, [], UNKNOWN, ["x"], [])],
         "query_id int, chunk_id string, fused_score double, content_stream string, product_family string, model_series array<string>, fault_codes array<string>, q_family string, q_series array<string>, q_codes array<string>",
     )
     rows = {r.chunk_id: r for r in retrieve.boost(df).collect()}
@@ -84,7 +84,7 @@ def test_rerank_appends_what_is_left_out(spark):
 def test_codes_of_long_questions(spark):
     far = "x" * 200 + " E:04"
     assert of(spark, understand.codes(F.col("q"), LEX), q=far) == []
-    assert of(spark, understand.codes(F.col("q"), LEX), q="E:04 on a GH") == ["E04"]
+    assert of(spark, understand.codes(F.col("q"), LEX), q="E:04 on a DM7") == ["E04"]
 
 
 def test_enrich_takes_only_three_things(spark):
@@ -175,9 +175,9 @@ def test_build_embeds_only_what_changed(spark, tmp_path):
 
 def test_article_build(spark):
     body = "Fault E:04 means ignition failed and the flame sensor must be cleaned before a reset. " * 4
-    manifest_rows = spark.createDataFrame([("1", "GH guide", "u", "Ducted Gas Heating", "Fault Finding", "f", body, None, [], None, None)], schemas.MANIFEST)
+    manifest_rows = spark.createDataFrame([("1", "BK2 guide", "u", "Baking", "Faults", "f", body, None, [], None, None)], schemas.MANIFEST)
     pages = build.article_pages(manifest_rows, LEX)
-    assert pages.first().product_family == "GAS" and pages.first().doc_type == "fault_finding"
+    assert pages.first().product_family == "OVEN" and pages.first().doc_type == "repairs"
     chunks, table = build.chunks_with_codes(pages, LEX)
     assert chunks.first().fault_codes == ["E04"] and table.first().code_key == "E04"
 
@@ -232,7 +232,7 @@ def test_streaming(spark, tmp_path):
 
 
 def test_family_ties(spark):
-    assert of(spark, classify.document_family(F.col("c"), F.lit(""), F.lit(""), LEX), c="VRF Reverse Cycle") == "VRF"
+    assert of(spark, classify.document_family(F.col("c"), F.lit(""), F.lit(""), LEX), c="Mixing and Baking") == "OVEN"
     assert of(spark, classify.query_family(F.col("c"), LEX), c="nothing") == UNKNOWN
 
 

@@ -27,7 +27,7 @@ nor length of a page costs more than its size.
 Defined results for odd input: null or empty html, and pages without text,
 give the empty text.  A page without a body is its own body.  Of equal sums
 the first node in the page is the core.  An unfinished tag at the end is no
-text.  Repeated rows get equal results.  Extra columns are ignored.  An empty
+text, and neither are marked sections and declarations, however malformed.  Repeated rows get equal results.  Extra columns are ignored.  An empty
 table gives an empty result.
 """
 
@@ -48,7 +48,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article blockquote body center details div html main section table tbody td tr ul ol dl".split())
 DROPPED = frozenset(
-    "script style noscript template nav aside footer form button input select textarea label fieldset iframe object embed applet canvas svg math audio video map dialog menu head title".split()
+    "script style noscript template nav aside footer form button input select textarea label fieldset iframe object embed applet canvas svg audio video map dialog menu head title".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 DROPPED_WORDS = frozenset(
@@ -128,6 +128,10 @@ class Page(HTMLParser):
             if up in SCOPE and tag not in SCOPE:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """As browsers read it: what begins with <![ is a comment up to the next >."""
+        return self.rawdata.find(">", i) + 1 or -1
+
     def _close(self, at: int) -> None:
         for node in reversed(self.open[at:]):
             self.items.append((node, None))

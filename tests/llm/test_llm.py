@@ -404,6 +404,19 @@ def test_html_beside_the_densest():
     assert kept(f"<body><div><div>{links}<p>{text(63, 'l')}</p></div><div>{paragraphs(9, 300, 'a')}</div></div></body>") == {c * 9 for c in "la"}
 
 
+def test_html_never_fails():
+    assert html_text.main_text("<p>x</p><![foo[x]]><p>y</p>") == "x\n\ny" == html_text.main_text("<p>x</p><![ x><p>y</p>")
+    assert html_text.main_text("<article><p>As <math><mi>x</mi></math> grows, so does the rest of it.</p></article>") == "As x grows, so does the rest of it."
+    rng = random.Random(8)
+    odd = ["<![", "<!", "<!-", "<!--", "]]>", "<![CDATA[", "<!DOCTYPE [", "&#x110000;", "&#", "</", "<a <b", "<p/>", "\0", "<?x", '<i a="', "</article>", "<svg/>", "<![if", "\ud7ff"]
+    for _ in range(400):
+        page = PAGE
+        for _ in range(rng.randrange(1, 9)):
+            i = rng.randrange(len(page))
+            page = page[:i] + rng.choice(odd) + page[i + rng.randrange(12) :]
+        assert isinstance(html_text.main_text(page), str)
+
+
 def test_html_names():
     body, rest = "<p>The body of the page has a few words.</p>" * 9, "<p>Some other text.</p>"
     whole = html_text.main_text(f"<article>{body}</article>")

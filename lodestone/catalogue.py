@@ -15,7 +15,7 @@ from lodestone.functions import codes as C
 from lodestone.functions import text as T
 from lodestone.lexicon import Lexicon
 from lodestone.operators import answer as A
-from lodestone.operators import chunking, classify, evaluate, index, manifest, retrieve, tables, understand
+from lodestone.operators import chunking, classify, evaluate, index, manifest, projection, retrieve, tables, triage, understand
 from lodestone.operators import codes as CT
 from lodestone.plans.cascade import cascade
 
@@ -941,3 +941,65 @@ def novice_flags(spark, d):
     found = rows(spark, literal([(1, "a", "MIXER"), (1, "a", "MIXER"), (3, "a", "MIXER"), (3, "b", "PROOFER"), (3, "c", "OVEN")], "query_id, doc_id, product_family"))
     pins = spark.createDataFrame([(1, True)], "query_id int, ambiguous boolean")
     return understand.flags(asked, found, pins).select("query_id", F.array_join("flags", ",").alias("flags"))
+
+
+def _shown(spark, d):
+    """Documents as ranked chunks, with gaps in every optional column."""
+    gap = lambda k, column: F.when(F.col("doc_id") % k > 0, column)
+    return tab(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), gap(11, F.col("source")).alias("doc_id"), gap(3, (F.col("doc_id") % 7).cast("int")).alias("page_index"), gap(4, F.col("lang")).alias("title"),
+        (F.col("doc_id") % 9).cast("string").alias("page_label"), gap(2, F.lit(None).cast("string")).alias("none"), F.when(F.col("doc_id") % 6 == 0, "3-4").alias("page_range"), gap(5, F.upper("lang")).alias("product_family"),
+        gap(7, F.lit("table")).alias("kind"), gap(8, (F.col("doc_id") % 13) / 8).alias("rerank_score"), gap(5, (F.col("doc_id") % 17) / 4).alias("boosted_score"), F.lit(None).cast("array<string>").alias("boosts"),
+        F.when(F.col("doc_id") % 2 == 0, "diagnostic_article").alias("content_stream"), "text", F.col("doc_id").alias("n"),
+    )
+
+
+_SHOWN = """(SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 11 > 0 THEN source END AS doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END AS page_index, CASE WHEN doc_id % 4 > 0 THEN lang END AS title, (doc_id % 9)::VARCHAR AS page_label,
+  CASE WHEN doc_id % 6 = 0 THEN '3-4' END AS page_range, CASE WHEN doc_id % 5 > 0 THEN upper(lang) END AS product_family, CASE WHEN doc_id % 7 > 0 THEN 'table' END AS kind, CASE WHEN doc_id % 8 > 0 THEN (doc_id % 13) / 8.0::DOUBLE END AS rerank_score,
+  CASE WHEN doc_id % 5 > 0 THEN (doc_id % 17) / 4.0::DOUBLE END AS boosted_score, doc_id % 2 = 0 AS article, text, doc_id AS n FROM documents) AS s"""
+
+
+@query(
+    f"""SELECT chunk_id, coalesce(doc_id, '') AS doc_id, coalesce(title, '') AS title, coalesce(page_range, page_label) AS page_label, '/page/' || doc_id || '/' || page_index AS page_url, coalesce(product_family, 'UNKNOWN') AS product_family,
+  coalesce(kind, 'prose') AS kind, coalesce(rerank_score, boosted_score, 0) AS score, text FROM {_SHOWN}"""
+)
+def hit_projection(spark, d):
+    return projection.hits(_shown(spark, d)).drop("boosts")
+
+
+@query(f"SELECT round(coalesce(boosted_score, 0), 4) AS score, coalesce(title, '') AS title, page_label, product_family, kind, CASE WHEN text <> '' THEN substr(text, 1, 160) || '...' ELSE '' END AS text FROM {_SHOWN}")
+def trimmed_rows(spark, d):
+    return projection.trimmed(_shown(spark, d).withColumn("score", F.col("boosted_score")))
+
+
+@query(f"SELECT chunk_id, '[' || n || '] ' || coalesce(title, '') || ' (' || coalesce(product_family, 'UNKNOWN') || ', p.' || coalesce(page_range, page_label) || CASE WHEN article THEN ', DIAGNOSTIC ARTICLE' ELSE '' END || ')' AS header FROM {_SHOWN}")
+def passage_header(spark, d):
+    return _shown(spark, d).select("chunk_id", projection.passage_header(F.col("n")).alias("header"))
+
+
+def _scanned(spark, d):
+    """Lines of orders as pages of documents."""
+    lines = tab(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_quantity").alias("q"), F.min("l_suppkey").alias("s"))
+    return lines.select(
+        F.col("l_orderkey").cast("string").alias("doc_id"), (F.col("l_linenumber") - 1).alias("page_index"), F.when(F.col("p") % 3 > 0, (F.col("l_linenumber") + F.col("p") % 3).cast("string")).alias("label"),
+        (F.col("q") * 20).cast("int").alias("chars"), (F.col("s") % 5).cast("int").alias("images"),
+    )
+
+
+_SCANNED = """s AS (SELECT l_orderkey::VARCHAR AS doc_id, l_linenumber - 1 AS page_index, CASE WHEN min(l_partkey) % 3 > 0 THEN l_linenumber + min(l_partkey) % 3 END AS label, (min(l_quantity) * 20)::INT AS chars, (min(l_suppkey) % 5)::INT AS images FROM lineitem GROUP BY l_orderkey, l_linenumber),
+t AS (SELECT *, CASE WHEN chars <= 100 THEN 'scanned' WHEN chars < 600 AND images >= 1 THEN 'diagram_heavy' ELSE 'plain_text' END AS tier FROM s),
+o AS (SELECT doc_id, label - (page_index + 1) AS off, count(*) AS c, min(page_index) AS first_page FROM s WHERE label IS NOT NULL GROUP BY 1, 2), m AS (SELECT doc_id, arg_min(off, (-c, first_page)) AS label_offset FROM o GROUP BY 1),
+p AS (SELECT doc_id, count(*) AS pages, count(label) AS labelled, count(*) FILTER (tier = 'plain_text') AS plain_text, count(*) FILTER (tier = 'diagram_heavy') AS diagram_heavy, count(*) FILTER (tier = 'scanned') AS scanned FROM t GROUP BY 1)"""
+
+
+@query(f"WITH {_SCANNED} SELECT p.*, coalesce(m.label_offset::VARCHAR, '') AS label_offset FROM p LEFT JOIN m USING (doc_id)")
+def triage_documents(spark, d):
+    return triage.documents(_scanned(spark, d)).withColumn("label_offset", F.coalesce(F.col("label_offset").cast("string"), F.lit("")))
+
+
+@query(
+    f"""WITH {_SCANNED}, a AS (SELECT count(*) AS documents, sum(pages)::BIGINT AS pages, sum(labelled)::BIGINT AS labelled, sum(plain_text)::BIGINT AS plain_text, sum(diagram_heavy)::BIGINT AS diagram_heavy, sum(scanned)::BIGINT AS scanned FROM p),
+l AS (SELECT string_agg(label_offset || '=' || c, ',' ORDER BY label_offset) AS offsets FROM (SELECT label_offset, count(*) AS c FROM m GROUP BY 1)) SELECT a.*, l.offsets, (SELECT count(*) FROM region) AS failed FROM a, l"""
+)
+def triage_summary(spark, d):
+    return triage.summary(triage.documents(_scanned(spark, d)), tab(spark, d, "region")).drop(*[f"pct_{t}" for t in triage.TIERS])

@@ -48,9 +48,9 @@ def content_stream(body: Column, n_attachments: Column) -> Column:
 
 
 def article_markdown(title: Column, body: Column) -> Column:
-    """Bullets as list items, at most one blank line in a row, the title as a heading."""
-    body = F.regexp_replace(body, r"[•·▪‣]\s*", "\n- ")
-    body = strip_ends(F.regexp_replace(body, r"\n{3,}", "\n\n"))
+    """Bullets that begin a line as list items, at most one blank line in a row, the title as a heading."""
+    body = F.regexp_replace(strip_ends(body), r"(?m)^\s*[•▪◦·]\s*", "- ")
+    body = F.regexp_replace(body, r"\n{3,}", "\n\n")
     return strip_ends(F.concat(F.lit("# "), title, F.lit("\n\n"), body))
 
 
@@ -110,8 +110,8 @@ def html_visible(html: Column) -> Column:
 
 # First bytes of file formats.
 MAGIC = (
-    ("25504446", ".pdf"), ("89504E470D0A1A0A", ".png"), ("FFD8FF", ".jpg"), ("474946383761", ".gif"), ("474946383961", ".gif"),
-    ("504B0304", ".zip"), ("D0CF11E0A1B11AE1", ".doc"), ("52494646", ".webp"), ("49492A00", ".tif"),
+    ("25504446", ".pdf"), ("89504E470D0A1A0A", ".png"), ("FFD8FF", ".jpg"), ("47494638", ".gif"), ("52494646", ".webp"),
+    ("49492A00", ".tif"), ("4D4D002A", ".tif"), ("504B0304", ".zip"), ("D0CF11E0", ".doc"),
 )
 
 
@@ -128,8 +128,7 @@ def is_pdf(content: Column) -> Column:
 
 
 def looks_like_html(content: Column) -> Column:
-    head = F.lower(F.substring(F.decode(F.substring(content, 1, 256), "ISO-8859-1"), 1, 256))
-    return head.rlike(r"^\s*<(!doctype|html|head|body|\?xml)")
+    return F.decode(F.substring(content, 1, 512), "ISO-8859-1").rlike(r"^[\x20\x09-\x0D]*(<!DOCTYPE|<!doctype|<html|<HTML|<\?xml)")
 
 
 # -- page labels and tiers

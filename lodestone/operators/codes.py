@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.codes import distinct_keys, sweep
@@ -37,11 +37,17 @@ def code_hits(chunks: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFr
     return chunks.mapInArrow(run, f"{schema}, {HIT}, place int")
 
 
+def _placed(chunk: Column) -> list[Column]:
+    """What orders chunk ids as chunks were cut: c20 before c100."""
+    number = lambda k: F.regexp_extract(chunk, r"^(.*):p(\d+|na):c(\d+)$", k)
+    return [number(1).alias("doc_"), number(2).try_cast("long").alias("page_"), number(3).try_cast("long").alias("number_"), chunk.alias("chunk_")]
+
+
 def code_table(hits: DataFrame, seq: str = "chunk_id") -> DataFrame:
-    """The best row of each (code_key, product_family): from a table, then the longer meaning, then the first."""
+    """The best row of each (code_key, product_family): from a table, then the longer meaning, then the first in the order of document, page and number."""
     keys = ["code_key", "product_family"]
     values = F.struct(*[F.col(c) for c in hits.columns if c not in keys])
-    best = F.min_by(values, F.struct((~F.col("in_table")).alias("a"), (-F.length("meaning")).alias("b"), F.col(seq).alias("c"), F.col("place").alias("d")))
+    best = F.min_by(values, F.struct((~F.col("in_table")).alias("a"), (-F.length("meaning")).alias("b"), *_placed(F.col(seq)), F.col("place").alias("d")))
     return hits.groupBy(*keys).agg(best.alias("v")).select(*keys, "v.*").drop("place")
 
 

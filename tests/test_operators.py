@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import codes as C
+from lodestone.functions import portal
 from lodestone.functions import text as T
 from lodestone.catalogue import LEXICON as LEX
 from lodestone.lexicon import UNKNOWN
 from lodestone.operators import answer as A
-from lodestone.operators import chunking, classify, evaluate, index, manifest, retrieve, tables, understand
+from lodestone.operators import chunking, classify, evaluate, index, manifest, projection, retrieve, tables, triage, understand
 from lodestone.plans import build, cascade, evaluation
-from lodestone.sources import files, jsonl, schemas, web
+from lodestone.sources import embedding, files, jsonl, schemas, web
 
 
 
@@ -243,3 +244,75 @@ def test_record_match_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, f"{start} of one"), (2, f"{start}  OF two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(101, f"{start} of two"), (102, f"{start} of three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.id: r.query_id for r in catalogue.record_match(spark, str(tmp_path)).collect()} == {"101": "r2", "102": None}
+
+
+def test_bullets_only_where_lines_begin(spark):
+    assert of(spark, T.article_markdown(F.lit("T"), F.col("b")), b="Set 220·240 V\n • one\n\n\n\n▪two") == "# T\n\nSet 220·240 V\n- one\n- two"
+
+
+def test_signatures(spark):
+    rows = [(b"MM\0*x", ".tif"), (b"GIF8x", ".gif"), (b"\xd0\xcf\x11\xe0", ".doc"), (b"none", None)]
+    got = spark.createDataFrame(rows, "c binary, want string").select(T.detect_suffix(F.col("c")), "want").collect()
+    assert all(a == b for a, b in got)
+    html = [(b"  \n<!doctype html>", True), (b"<head>", False), (b" " * 300 + b"<html>", True)]
+    assert all(a == b for a, b in spark.createDataFrame(html, "c binary, want boolean").select(T.looks_like_html(F.col("c")), "want").collect())
+
+
+def test_best_code_is_the_first_cut(spark):
+    hits = [("E04", "OVEN", f"d:p{p}:c{c}", "same words", False, 0) for p, c in ((10, "00"), (9, "100"), (9, "20"))]
+    from lodestone.operators.codes import code_table
+
+    df = spark.createDataFrame(hits, "code_key string, product_family string, chunk_id string, meaning string, in_table boolean, place int")
+    assert code_table(df).first().chunk_id == "d:p9:c20"
+
+
+def test_portal_pages(spark):
+    listing = """<div class="cs-s"><h3 class="heading"><a href="/support/solutions/77">Baking &amp; co</a></h3><a title="Deck  ovens" href="/support/solutions/folders/5">Deck.. <span>3</span></a>
+      <a href="/support/solutions/folders/6">Bread</a><a href="/support/solutions/folders/5">again</a></div><div class="cs-s x"><h3 class="accordion-heading"><a href="/support/solutions/78">Mixing</a></h3><a href="/support/solutions/folders/9">Dough</a></div>"""
+    got = of(spark, portal.folders(F.col("h")), h=listing)
+    assert [(x.id, x.name, x.category, x.category_id) for x in got] == [("5", "Deck ovens", "Baking & co", "77"), ("6", "Bread", "Baking & co", "77"), ("9", "Dough", "Mixing", "78")]
+    page = """<div class="breadcrumb"><a href="/support/solutions/77">Baking</a><a href="/support/solutions/folders/5">Deck ovens</a></div><h2 class="heading">No <span>Print</span>heat</h2><p>Modified on: 3 May 2024 <br></p>
+      <article class="article-body"><p>First do</p><p>this.</p></article><a href="/helpdesk/attachments/12" title="long name.pdf">long..</a><a href="/helpdesk/attachments/12">x</a><a href="https://s3/img.png">i</a>"""
+    a = of(spark, portal.article(F.col("h")), h=page)
+    assert (a.title, a.body_text, a.category, a.folder, a.folder_id, a.updated_at) == ("No heat", "First do this.", "Baking", "Deck ovens", "5", "3 May 2024")
+    assert [(x.id, x.filename) for x in a.attachments] == [("12", "long name.pdf")]
+    assert of(spark, portal.article(F.col("h")), h="<p>login</p>") is None
+    links = '<div class="article-title"><a href="/support/solutions/articles/3-a">A b</a></div><a class="c-link" href="/support/solutions/articles/4">C</a><a href="/support/solutions/articles/8">no</a>'
+    assert [(x.id, x.title) for x in of(spark, portal.article_links(F.col("h")), h=links)] == [("3", "A b"), ("4", "C")]
+
+
+def test_embedding_calls(spark):
+    class RateLimitError(Exception):
+        pass
+
+    class BadRequestError(Exception):
+        status_code = 500
+
+    waits, tries = [], []
+
+    def client(texts):
+        tries.append(texts)
+        if len(tries) < 3:
+            raise RateLimitError
+        return [(1, [1.0]), (0, [0.0])]
+
+    assert embedding.vectors(client, ["a", "b"], waits.append) == [[0.0], [1.0]] and waits == [2.0, 4.0]
+    with pytest.raises(embedding.EmbeddingFailed, match="after 1 "):
+        embedding.vectors(lambda t: (_ for _ in ()).throw(BadRequestError()), ["a"], waits.append)
+    assert list(embedding.requests(["x"] * 300)) == [(0, 256), (256, 300)] and list(embedding.requests(["y" * 600_000] * 2)) == [(0, 1), (1, 2)]
+    long = "z" * 40_000
+    out = embedding.embed(spark.createDataFrame([(1, long), (2, None)], "id int, text string"), lambda texts: [(i, [float(len(t))]) for i, t in enumerate(texts)]).collect()
+    assert {r.id: r.embedding[0] for r in out} == {1: float(int(8191 * T.CHARS_PER_TOKEN)), 2: 0.0} and out[0].text is not None
+
+
+def test_triage_report():
+    row = {"documents": 1, "failed": 0, "pages": 4, "labelled": 2, "plain_text": 1, "diagram_heavy": 1, "scanned": 2, "pct_plain_text": 0.25, "pct_diagram_heavy": 0.25, "pct_scanned": 0.5, "offsets": "0=1"}
+    assert "Warning" in triage.report(row) and "50.0%" in triage.report(row)
+    with pytest.raises(ValueError, match="no documents"):
+        triage.report({**row, "documents": 0})
+
+
+def test_content_and_lookup(spark):
+    assert of(spark, projection.has_content(F.col("t"), F.array()), t=" ") is False and of(spark, projection.has_content(F.col("t"), F.array(F.lit(1))), t="") is True
+    index_ = spark.createDataFrame([("a", "x", [1.0]), ("b", "y", [2.0])], "chunk_id string, text string, embedding array<double>")
+    assert projection.lookup(index_, "b").collect()[0].asDict() == {"chunk_id": "b", "text": "y"}

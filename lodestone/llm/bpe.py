@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from lodestone.llm.common import released
+
 #: Pieces, and token pairs, remembered by a worker at most; the memory is then emptied.
 MEMO_LIMIT = 600_000
 #: Longest piece that is remembered, in characters.
@@ -276,7 +278,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str | None = None, text: s
             yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
     added = [StructField(ids, ArrayType(IntegerType())), *([StructField(checked, BooleanType())] if checked else [])]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(released(run), StructType([*docs.schema.fields, *added]))
 
 
 def decode(rows: DataFrame, vocabulary: str, pattern: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -290,7 +292,7 @@ def decode(rows: DataFrame, vocabulary: str, pattern: str | None = None, ids: st
             texts = [b"".join([vocab[i] for i in x.as_py() or ()]).decode("utf-8", "replace") for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text, StringType())]))
+    return rows.mapInArrow(released(run), StructType([*rows.schema.fields, StructField(text, StringType())]))
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str | None = None) -> DataFrame:
@@ -308,4 +310,4 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str | None = None) -> Dat
                 decoded.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

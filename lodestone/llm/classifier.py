@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import released
+
 WIDTH = 6
 FILTERS = 16
 EMBED = 8
@@ -174,7 +176,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[tuple
             own = [stretches(t.as_py().encode()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(own, pa.list_(pa.binary()))], names=["h", "y", "pieces"])
 
-    rows = texts.mapInArrow(cut, "h string, y int, pieces array<binary>").collect()
+    rows = texts.mapInArrow(released(cut), "h string, y int, pieces array<binary>").collect()
     rows = sorted({(r.h, r.y, tuple(map(bytes, r.pieces))) for r in rows})
     return [(y, list(p)) for _, y, p in rows]
 
@@ -207,4 +209,4 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = [0.5 if net is None else net.score((t.as_py() or "").encode()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return own.mapInArrow(released(run), "doc_id long, held_out boolean, score double, predicted int")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lodestone.llm.common import components, discard, tidy, written
+from lodestone.llm.common import components, discard, released, tidy, written
 
 COSINE = 0.98
 #: Principal dimensions of the grid.
@@ -136,7 +136,7 @@ def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], cosine: float) ->
     schema = StructType([*classes.schema.fields, *[StructField(f"c{k}", IntegerType()) for k in range(DIMS)]])
     order = ["label", "dim", *[f"c{k}" for k in range(DIMS)], "h1", "h2"]
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    sorted_ = classes.mapInArrow(place, schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    sorted_ = classes.mapInArrow(released(place), schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches):
         part, number, held, key = TaskContext.get().partitionId(), 0, [], None
@@ -164,7 +164,7 @@ def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], cosine: float) ->
         if held:
             yield block()
 
-    return sorted_.mapInArrow(cut, BLOCK_SCHEMA)
+    return sorted_.mapInArrow(released(cut), BLOCK_SCHEMA)
 
 
 BLOCK_SCHEMA = "block long, label long, dim int, first int, last int, lo array<double>, hi array<double>, h1 array<long>, h2 array<long>, rep array<long>, n array<long>, x binary"
@@ -215,7 +215,7 @@ def _joined(blocks: DataFrame, bases_: dict[int, np.ndarray], cosine: float) ->
                     yield pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (get("h1", s), get("h2", s), links, rep, low)], names=["h1", "h2", "links", "rep", "low"])
 
     pairs = _pairs(blocks, cosine).join(one, "a").join(two, "b")
-    return pairs.mapInArrow(run, "h1 long, h2 long, links long, rep long, low long")
+    return pairs.mapInArrow(released(run), "h1 long, h2 long, links long, rep long, low long")
 
 
 @tidy

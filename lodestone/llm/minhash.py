@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, discard, tidy, written
+from lodestone.llm.common import components, discard, released, tidy, written
 from lodestone.llm.shingles import mixed, shingle_set
 
 LENGTH = 2
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "s1", "s2", "sketch", "tokens", "roots"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, tokens binary, roots array<long>")
+    return own.mapInArrow(released(run), "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, tokens binary, roots array<long>")
 
 
 def branches(rows: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def branches(rows: DataFrame) -> DataFrame:
                 to = step(node[at], k, coordinate, tokens[at, coordinate.astype(np.int64)].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), batch.column("rep").take(pa.array(at))], names=["node", "rep"])
 
-    return rows.mapInArrow(run, "node long, rep long")
+    return rows.mapInArrow(released(run), "node long, rep long")
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def likeliest(cells: DataFrame, least: float) -> DataFrame:
         if found:
             yield _pairs(found)
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, cell long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(released(run), "a long, b long, cell long")
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -250,7 +250,7 @@ def groups(cells: DataFrame, least: float) -> DataFrame:
             if of:
                 yield pa.RecordBatch.from_arrays([pa.array(of, pa.list_(pa.int64()))], names=["members"])
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "members array<long>").distinct()
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(released(run), "members array<long>").distinct()
 
 
 class _Sets:
@@ -274,7 +274,7 @@ class _Sets:
                     yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "own"])
 
             texts = self.docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("rep IS NOT NULL AND text IS NOT NULL")
-            self.have.append(written(texts.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, own binary").distinct()))
+            self.have.append(written(texts.join(wanted, "rep", "left_semi").mapInArrow(released(run), "rep long, own binary").distinct()))
         discard(wanted)
         out = self.have[0] if self.have else None
         for table in self.have[1:]:
@@ -300,7 +300,7 @@ def confirmed(pairs: DataFrame, sets: _Sets, percent: int = PERCENT) -> DataFram
 
     one = own.select(F.col("rep").alias("a"), F.col("own").alias("own_a"))
     two = own.select(F.col("rep").alias("b"), F.col("own").alias("own_b"))
-    return written(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"))
+    return written(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(released(run), "a long, b long"))
 
 
 #: Entries of the sets of a group that are counted at a time; beyond it, its pairs are looked at one by one.
@@ -348,7 +348,7 @@ def within(members: DataFrame, sets: _Sets, percent: int = PERCENT) -> DataFrame
                 yield _pairs([np.stack([of["rep"][a], of["rep"][b]], 1)])
 
     rows = members.join(own, "rep").select("group", "rep", "label", "own")
-    return written(rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long"))
+    return written(rows.repartition("group").sortWithinPartitions("group").mapInArrow(released(run), "a long, b long"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -429,7 +429,7 @@ def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Link
         of = large.groupBy("node", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "rep"), "rep"))["rep"].alias("pivot"))
         top = of.groupBy("node").agg(F.max(F.struct("c", F.xxhash64("node", "label"), "label", "pivot")).alias("t")).select("node", F.col("t.label").alias("top"), F.col("t.pivot").alias("pivot"))
         top = top.join(sketches.withColumnsRenamed({"rep": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "top", "pivot", "pivot_sketch")
-        large = written(large.join(sketches, "rep").join(top, "node").mapInArrow(alike, "node long, rep long, label long, pivot long, top long, like int"))
+        large = written(large.join(sketches, "rep").join(top, "node").mapInArrow(released(alike), "node long, rep long, label long, pivot long, top long, like int"))
         likest = large.where((F.col("like") >= need) & ~main).groupBy("rep").agg(F.max(F.struct("like", "pivot"))["pivot"].alias("pivot"))
         pairs = links.new(likest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
         if GAIN * pairs.count() >= large.count():

@@ -38,12 +38,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, discard, tidy, written
+from lodestone.llm.common import WORD, discard, released, tidy, written
 from lodestone.llm.shingles import mixed, window_hashes, word_hashes
 
 LENGTH = 20
 #: Windows that a batch holds together.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Buckets of hashes for each shuffle partition; one bucket at a time is held in memory.
 BUCKETS = 4
 
@@ -203,7 +203,7 @@ def _reduced(rows: DataFrame, later_only: bool) -> DataFrame:
             yield from said()
 
     dealt = rows.where(F.col("kind") != TEXT).select("kind", "bucket", "payload", "doc", "key", "starts").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    out = dealt.mapInArrow(run, "doc long, key long, starts array<int>")
+    out = dealt.mapInArrow(released(run), "doc long, key long, starts array<int>")
     return out.groupBy("doc", "key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
@@ -225,7 +225,7 @@ def _level_one(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         if held:
             yield from _resolve([np.concatenate(c) for c in zip(*held, strict=True)], buckets, False)
 
-    return rows.select("doc", "text").mapInArrow(run, PACKED)
+    return rows.select("doc", "text").mapInArrow(released(run), PACKED)
 
 
 def _level_two(rows: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _level_two(rows: DataFrame, length: int, buckets: int) -> DataFrame:
         if held:
             yield from _resolve([np.concatenate(c) for c in zip(*held, strict=True)], buckets, True)
 
-    return rows.mapInArrow(run, PACKED)
+    return rows.mapInArrow(released(run), PACKED)
 
 
 def shortened(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -300,7 +300,7 @@ def _shortened_texts(lost: DataFrame, length: int) -> DataFrame:
                 texts.append(b" ".join(w for w, g in zip(words, cover.tolist(), strict=True) if not g).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc", "key", "n_removed", "new_text"])
 
-    return lost.mapInArrow(run, "doc long, key long, n_removed long, new_text string")  # repeated rows repeat here
+    return lost.mapInArrow(released(run), "doc long, key long, n_removed long, new_text string")  # repeated rows repeat here
 
 
 @tidy
@@ -315,7 +315,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(map(len, words), pa.int64()), pa.array(sha, pa.string())], names=["doc", "key", "n_words", "whole_sha"])
 
-    out = _identified(docs).mapInArrow(whole, "doc long, key long, n_words long, whole_sha string")
+    out = _identified(docs).mapInArrow(released(whole), "doc long, key long, n_words long, whole_sha string")
     out = out.join(less, ["doc", "key"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc", "key"], "left")
     all_ = F.coalesce(F.col("copy") & (F.col("n_words") >= length), F.lit(False))
     return out.select(

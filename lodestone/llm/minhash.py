@@ -471,8 +471,11 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
         links.join()
     else:
         links.hold(links.new(likely.select("a", "b")))
-        apart = links.labelled(cells.join(likely.select("cell").distinct(), "cell", "left_semi"))
-        apart = written(groups(apart.join(_open(apart, "cell").select("cell"), "cell", "left_semi").join(sketches, "rep"), least))
+        # a forest of which all links hold leaves no two labels of its cell that a likely link could join
+        held = links.labelled(likely.select("cell", F.col("a").alias("rep"), "b")).select("cell", F.col("b").alias("rep"), F.col("label").alias("one"))
+        open_ = links.labelled(held).where("one <> label").select("cell").distinct()
+        apart = links.labelled(cells.join(open_, "cell", "left_semi"))
+        apart = written(groups(apart.join(sketches, "rep"), least))
         ends = {k: F.when(F.size("members") == 2, F.get("members", F.lit(k))) for k in (0, 1)}
         apart = apart.join(links.tried, (ends[0] == F.col("a")) & (ends[1] == F.col("b")), "left_anti")
         members = written(links.labelled(apart.select(F.xxhash64("members").alias("group"), F.explode("members").alias("rep"))))

@@ -44,8 +44,8 @@ def released(run):
     return wrapped
 
 
-#: Rows that go to a Python worker at a time when something is written: rows here hold texts or sets.
-BATCH = 2000
+#: Rows, and bytes, that go to a Python worker at a time when something is written: rows here hold texts or sets.
+BATCH, BATCH_BYTES = 2000, 8 << 20
 #: For each `tidy` function that runs, what `written` wrote in it.
 _RUNNING: list[list[DataFrame]] = []
 
@@ -54,13 +54,15 @@ def written(df: DataFrame) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+    least = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in least}
+    for k, v in least.items():
+        spark.conf.set(k, str(min(int(before[k]), v) if (before[k] or "").isdigit() and int(before[k]) > 0 else v))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(batch, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     if _RUNNING:

@@ -141,7 +141,8 @@ def pack_lines(lines: Column, most: int) -> Column:
             F.when(full, own).otherwise(a["weight"] + own).alias("weight"),
         )
 
-    return F.aggregate(F.filter(F.transform(lines, F.trim), lambda x: x != ""), start, step, lambda a: F.when(a["weight"] > 0, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]))
+    # a lambda of one parameter: F.trim as it stands would get the line's index as the characters to trim
+    return F.aggregate(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), start, step, lambda a: F.when(a["weight"] > 0, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]))
 
 
 PAGE_COLUMNS = ("doc_id", "page_index", "page_label", "category", "folder", "title")

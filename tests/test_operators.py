@@ -53,6 +53,12 @@ def test_chunk_id_widens(spark):
     assert of(spark, T.chunk_id(F.lit("d"), F.lit(None).cast("int"), F.col("n").cast("int")), n=100) == "d:pna:c100"
 
 
+def test_packed_lines_lose_spaces_alone(spark):
+    lines = F.split(F.col("t"), "\n")
+    assert of(spark, chunking.pack_lines(lines, 300), t="0997 zero\n1219 one\n  two 2 ") == ["0997 zero\n1219 one\ntwo 2"]
+    assert of(spark, chunking.pack_lines(lines, 300), t="0\n1\n   ") == ["0\n1"]
+
+
 def test_split_rows_repeats_headers():
     rows = [["code", "meaning"], *[[f"E{i}", "some words here"] for i in range(40)]]
     parts = tables.split_rows(rows, True, "Table:", 60)

@@ -7,8 +7,11 @@ row_number, which the planner turns into a group limit before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +38,114 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "chunk_
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Components that a cell of `dense` holds, of rows and of questions; scores that it holds at a time; rows that are worth a cell of their own.
+ROWS_HELD, QUESTIONS_HELD, SCORES_HELD, LEAST_ROWS = 1 << 22, 1 << 20, 1 << 22, 2048
+#: Scores no further apart may round alike, whatever the order of their sums.
+NEAR = 2.0 / 10**DIGITS
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows summed from the first component on, as in `cosine`."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _nearest(rows: np.ndarray, void: np.ndarray, questions: np.ndarray, void_q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places of questions and of rows, cosine, and whether that is null, of pairs that hold the k best of each question.
+
+    rows are in the order of their keys; void rows have null components.  What
+    may round to the score of the k-th is there too, so that the order by
+    rounded scores can be taken later.
+    """
+    # of equal rows only the first k can be among the best
+    whole = np.column_stack([rows, void])
+    alike = np.unique(whole.view(f"V{whole.itemsize * whole.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(alike, kind="stable")
+    heads = np.flatnonzero(np.diff(alike[order], prepend=-1))
+    nth = np.arange(len(rows)) - np.repeat(heads, np.diff([*heads, len(rows)]))
+    kept = np.sort(order[nth < k])
+    a, q, void = rows[kept].astype(np.float64), questions.astype(np.float64), void[kept]
+    norm_a, norm_q = np.sqrt(_summed(a, a)), np.sqrt(_summed(q, q))
+    step = max(1, SCORES_HELD // len(a))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        scale = norm_q[part, None] * norm_a[None, :]
+        none = (scale == 0) | void_q[part, None] | void[None, :]
+        score = (q[part] @ a.T) / scale
+        score = np.where(none, -np.inf, np.where(np.isnan(score), np.inf, score))  # in the order of Spark: null last, NaN first
+        least = np.partition(score, len(a) - k, 1)[:, len(a) - k, None] if len(a) > k else -np.inf
+        near = score >= least - NEAR
+        for odd in (np.inf, -np.inf):  # these tie, so the first k are enough
+            if (hit := score == odd).any():
+                near &= ~hit | (np.cumsum(hit, 1) <= k)
+        i, j = np.nonzero(near)
+        yield i + at, kept[j], _summed(q[part][i], a[j]) / scale[i, j], none[i, j]
+
+
+def _vectors(column: pa.ChunkedArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length as matrix, and which have null components."""
+    flat = column.combine_chunks().flatten()
+    gone = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(column), length).any(1)
+    return flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(len(column), length), gone
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, from batches sorted by cell."""
+    held, now = [], None
+    for batch in batches:
+        cell = batch.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i and cell[i] != now:
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, now = [], cell[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def dense(questions: DataFrame, index: DataFrame, k: int = CHANNEL_K, where: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine; a filter holds before the ranks are taken.
 
-    questions: (query_id, vector), a stated set that is compared with all rows.
+    questions: (query_id, vector), a stated set that is compared with all rows
+    of as many components.  Blocks of rows meet blocks of questions in cells,
+    where products of matrices choose pairs; their scores are then computed as
+    `cosine` does, and the ranks are taken over all cells.
     """
-    rows = index if where is None else index.where(where)
-    pairs = rows.select("chunk_id", "embedding").join(questions.select("query_id", "vector"), F.size("embedding") == F.size("vector"))
-    return top_k(pairs.select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("vector")).alias("score")), k)
+    rows = (index if where is None else index.where(where)).select("chunk_id", F.col("embedding").alias("vector")).where("vector IS NOT NULL")
+    asked = questions.select("query_id", "vector").where("vector IS NOT NULL")
+    sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    held = lambda n, most: max(1, -(-n * (sizes["dim"] or 1) // most))
+    parts = max(held(sizes["n"], ROWS_HELD), min(index.sparkSession.sparkContext.defaultParallelism, sizes["n"] // LEAST_ROWS))
+    parts_q = held(asked.count(), QUESTIONS_HELD)
+    float_ = all(df.schema["vector"].dataType.simpleString() == "array<float>" for df in (rows, asked))
+    vector = F.col("vector").cast("array<float>" if float_ else "array<double>")
+    every = lambda n, cell: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cell)).alias("cell")
+    one = rows.withColumn("own", F.pmod(F.xxhash64("chunk_id", "vector"), F.lit(parts)).cast("int"))
+    two = asked.withColumn("own", F.pmod(F.xxhash64("query_id", "vector"), F.lit(parts_q)).cast("int"))
+    kinds = {"query_id": asked.schema["query_id"].dataType, "chunk_id": rows.schema["chunk_id"].dataType}
+    one = one.select(every(parts_q, lambda j: F.col("own") * parts_q + j), F.lit(None).cast(kinds["query_id"]).alias("query_id"), "chunk_id", vector.alias("vector"), F.lit(False).alias("asks"))
+    two = two.select(every(parts, lambda i: i * parts_q + F.col("own")), "query_id", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), vector.alias("vector"), F.lit(True).alias("asks"))
+
+    def run(batches):
+        for cell in _cells(batches):
+            asks = cell.column("asks")
+            own, said = cell.filter(pc.invert(asks)), cell.filter(asks)
+            own = own.take(pc.sort_indices(own, sort_keys=[("chunk_id", "ascending")], null_placement="at_start"))
+            long, long_q = pc.list_value_length(own.column("vector")), pc.list_value_length(said.column("vector"))
+            for length in set(pc.unique(long).to_pylist()) & set(pc.unique(long_q).to_pylist()):
+                x, y = own.filter(pc.equal(long, length)), said.filter(pc.equal(long_q, length))
+                with np.errstate(all="ignore"):
+                    for i, j, score, none in _nearest(*_vectors(x.column("vector"), length), *_vectors(y.column("vector"), length), k):
+                        out = pa.table({"query_id": y.column("query_id").take(pa.array(i)), "chunk_id": x.column("chunk_id").take(pa.array(j)), "score": pa.array(score, mask=none)})
+                        yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    dealt = one.unionByName(two).repartitionById(parts * parts_q, F.col("cell")).sortWithinPartitions("cell")
+    schema = ", ".join(f"{c} {kind.simpleString()}" for c, kind in kinds.items())
+    return top_k(dealt.mapInArrow(run, f"{schema}, score double"), k)
 
 
 def bm25(questions: DataFrame, posts: DataFrame, k: int = CHANNEL_K, allowed: DataFrame | None = None) -> DataFrame:

@@ -77,6 +77,22 @@ def test_boosts_multiply_and_keep_all(spark):
     assert rows["b"].boosted_score == 2.0 and rows["b"].boosts == []
 
 
+def test_dense_in_cells_is_the_join_of_all(spark, monkeypatch):
+    for name, most in (("ROWS_HELD", 200), ("QUESTIONS_HELD", 20), ("SCORES_HELD", 90)):
+        monkeypatch.setattr(retrieve, name, most)
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0] * 4, [None, 1.0, 1.0, 1.0], [nan, 0.0, 1.0, 1.0], [inf, 1.0, 0.0, 0.0], [1.0, 2.0], [2.0, 1.0], [3.0, None]]
+    rows = [(f"k{i % 100}{i}", [float((i * p) % 7 - 2) for p in (1, 3, 5, 11)]) for i in range(150)] + [(f"c{i}", [1.0, 2.0, 3.0, 4.0]) for i in range(40)] + [(f"o{i}", v) for i, v in enumerate(odd * 2)]
+    index = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(rows) if i % 20 == 0 or i > 185], "query_id int, vector array<double>")
+    pairs = index.join(asked, F.size("embedding") == F.size("vector")).select("query_id", "chunk_id", retrieve.cosine(F.col("embedding"), F.col("vector")).alias("score"))
+    found = retrieve.dense(asked, index, 7)
+    assert not re.search("Join|Cartesian", found._jdf.queryExecution().toString())
+    as_text = lambda df: sorted(map(str, df.select("query_id", "chunk_id", "score", "rank").collect()))
+    assert as_text(found) == as_text(retrieve.top_k(pairs, 7))
+    assert retrieve.dense(asked.limit(0), index).count() == 0 == retrieve.dense(asked, index.limit(0)).count()
+
+
 def test_rerank_appends_what_is_left_out(spark):
     df = spark.createDataFrame([(1, c, s, "q", c) for c, s in zip("abcd", (4.0, 3.0, 2.0, 1.0), strict=True)], "query_id int, chunk_id string, boosted_score double, query string, text string")
     out = retrieve.rerank_with(df, lambda q, texts: [3, 9, 3, True]).orderBy("rank").collect()

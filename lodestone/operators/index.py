@@ -65,6 +65,11 @@ def postings(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> Data
     return flat.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
+def lengths(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, doc_len) of the documents that have postings, without these."""
+    return docs.select(key, F.size(terms(F.col(text))).alias("doc_len")).where("doc_len > 0")
+
+
 def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 

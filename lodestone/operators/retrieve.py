@@ -148,17 +148,22 @@ def dense(questions: DataFrame, index: DataFrame, k: int = CHANNEL_K, where: Col
     return top_k(dealt.mapInArrow(run, f"{schema}, score double"), k)
 
 
-def bm25(questions: DataFrame, posts: DataFrame, k: int = CHANNEL_K, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(questions: DataFrame, posts: DataFrame, k: int = CHANNEL_K, allowed: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) over postings (term, chunk_id, tf, doc_len).
 
-    Statistics are those of all documents; `allowed` (chunk_id) filters before the ranks are taken.
+    Statistics are those of all documents; `allowed` (chunk_id) filters before
+    the ranks are taken.  lengths: (chunk_id, doc_len) of the documents that
+    have postings, where that is cheaper than to take it from these.  Postings
+    of a document stay together, so that scores of a document are summed and
+    those beyond the k best of a part are dropped before anything is moved; the
+    terms of the batch of questions go to all parts.
     """
     wanted = questions.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    stats = posts.groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))  # one row
-    hits = posts.join(wanted.select("term").distinct(), "term", "left_semi")
+    stats = (posts if lengths is None else lengths).groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))  # one row
+    hits = posts.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     rows = hits if allowed is None else hits.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    scored = rows.join(df, "term").join(wanted, "term").join(F.broadcast(stats))
+    scored = rows.repartition("chunk_id").join(F.broadcast(wanted.join(df, "term")), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.col("avgdl")))
     return top_k(scored.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score")), k)

@@ -13,18 +13,19 @@ from lodestone.operators.understand import understand
 
 
 def cascade(
-    questions: DataFrame, index: DataFrame, posts: DataFrame, lexicon: Lexicon, where: Column | None = None, k: int = R.TOP_K, rerank: Callable[[DataFrame], DataFrame] | None = None
+    questions: DataFrame, index: DataFrame, posts: DataFrame, lexicon: Lexicon, where: Column | None = None, k: int = R.TOP_K, rerank: Callable[[DataFrame], DataFrame] | None = None,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, chunk_id, rank, scores, ranks by channel, boosts.
 
     questions: (query_id, query, vector); a question with a null vector uses
     the full-text channel alone.  index: chunk_id, embedding and the columns of
-    `boost`.  A filter holds in both channels before ranks are taken.
+    `boost`.  lengths: as for `bm25`.  A filter holds in both channels before ranks are taken.
     """
     asked = understand(questions, lexicon)
     dense = R.dense(questions.where("vector IS NOT NULL"), index, where=where)
     allowed = None if where is None else index.where(where)
-    text = R.bm25(asked.select("query_id", F.col("rewritten_query").alias("query")), posts, allowed=allowed)
+    text = R.bm25(asked.select("query_id", F.col("rewritten_query").alias("query")), posts, allowed=allowed, lengths=lengths)
     fused = R.fuse({"dense": dense, "bm25": text})
     facets = index.select("chunk_id", *[c for c in ("content_stream", "product_family", "model_series", "fault_codes") if c in index.columns])
     candidates = fused.join(facets, "chunk_id").join(asked.select("query_id", "query", "q_family", "q_series", "q_codes"), "query_id")

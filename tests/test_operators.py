@@ -93,6 +93,17 @@ def test_dense_in_cells_is_the_join_of_all(spark, monkeypatch):
     assert retrieve.dense(asked.limit(0), index).count() == 0 == retrieve.dense(asked, index.limit(0)).count()
 
 
+def test_bm25_sums_a_document_where_it_lies(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "..."), (4, "a c d")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "none")], "query_id long, query string")
+    posts, own = index.postings(docs), index.lengths(docs)
+    found = retrieve.bm25(asked, posts, lengths=own)
+    assert sorted(own.collect()) == [(1, 3), (2, 2), (4, 3)]
+    assert sorted(found.collect()) == sorted(retrieve.bm25(asked, posts).collect())
+    assert [(r.query_id, r.chunk_id) for r in found.orderBy("query_id", "rank").collect()] == [(1, 1), (1, 2), (1, 4), (2, 2), (2, 4)]
+    assert not re.search(r"hashpartitioning\(query_id#\d+L, chunk_id", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_rerank_appends_what_is_left_out(spark):
     df = spark.createDataFrame([(1, c, s, "q", c) for c, s in zip("abcd", (4.0, 3.0, 2.0, 1.0), strict=True)], "query_id int, chunk_id string, boosted_score double, query string, text string")
     out = retrieve.rerank_with(df, lambda q, texts: [3, 9, 3, True]).orderBy("rank").collect()

@@ -17,7 +17,8 @@ Documents with equal texts are set apart first: all but the first copy have
 each window repeated.  Window hashes travel packed: each batch of documents
 resolves equal windows within itself at once, so that a passage that a third
 of all documents share leaves a batch as one entry, and sends what is left as
-one compressed block for each bucket of hashes.  Texts are moved once, for the
+one compressed block for each bucket of hashes.  What is found to be repeated
+goes on as blocks too, for buckets of documents.  Texts are moved once, for the
 second level; those that may lose words go along with what is found there.
 
 Defined results for odd input: null text and texts of fewer than LENGTH words
@@ -77,8 +78,8 @@ def _copies(rows: DataFrame) -> DataFrame:
     return slim.join(first, "digest").where("doc > first").select("doc", "key").distinct()
 
 
-PACKED = "kind int, bucket int, payload binary, doc long, key long, starts array<int>, text string"
-_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary()), ("doc", pa.int64()), ("key", pa.int64()), ("starts", pa.list_(pa.int32())), ("text", pa.string())])
+PACKED = "kind int, bucket int, payload binary, doc long, key long, text string"
+_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("payload", pa.binary()), ("doc", pa.int64()), ("key", pa.int64()), ("text", pa.string())])
 ENTRIES, STARTS, TEXT = 0, 1, 2
 #: Of an entry: two parts of the hash, document, key and start.
 _KINDS = (np.uint64, np.uint32, np.int64, np.int64, np.uint32)
@@ -107,13 +108,12 @@ def _unpack(payload: bytes) -> list[np.ndarray]:
 
 
 def _starts_rows(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, buckets: int) -> list[dict]:
-    """One row for each document, dealt by a hash of it over all buckets."""
-    order = np.lexsort((starts, keys, docs))
-    docs, keys, starts = docs[order], keys[order], starts[order]
-    cut = np.flatnonzero((np.diff(docs) != 0) | (np.diff(keys) != 0)) + 1
-    heads = np.concatenate([[0], cut]) if len(docs) else []
+    """Starts packed by buckets of documents, dealt by a hash of these, as columns of entries of which the first is the document."""
     bucket = mixed(docs.astype(np.uint64)) % np.uint64(buckets)
-    return [{"kind": STARTS, "bucket": int(bucket[h]), "doc": int(docs[h]), "key": int(keys[h]), "starts": np.unique(x).tolist()} for h, x in zip(heads, np.split(starts, cut), strict=False)]
+    order = np.lexsort((starts, keys, docs, bucket))
+    columns = [x[order] for x in (bucket, docs.astype(np.uint64), np.zeros(len(docs), np.uint32), docs, keys, starts)]
+    cuts = np.searchsorted(columns[0], np.arange(buckets + 1, dtype=np.uint64))
+    return [{"kind": STARTS, "bucket": k, "payload": _pack([c[i:j] for c in columns[1:]])} for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
 
 
 def _sorted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -157,8 +157,8 @@ def _resolve(columns: list[np.ndarray], buckets: int, later_only: bool):
         yield pa.RecordBatch.from_pylist(rows[k : k + 512], schema=_ARROW)
 
 
-def _reduced(rows: DataFrame, later_only: bool) -> DataFrame:
-    """(doc, key, starts) of what is repeated, from the packed rows of all batches: one bucket at a time."""
+def _reduced(rows: DataFrame, later_only: bool, buckets: int) -> DataFrame:
+    """(doc, key, starts) of what is repeated, from the packed rows of all batches: one bucket of hashes at a time, then one of documents."""
 
     def run(batches):
         now, held, good = None, [], []
@@ -177,15 +177,15 @@ def _reduced(rows: DataFrame, later_only: bool) -> DataFrame:
             return [docs[at], keys[at], starts[at]]
 
         def said():
-            # a document's starts of all buckets go together
-            out = _starts_rows(*map(np.concatenate, zip(*good, strict=True)), 1)
-            for k in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_pylist(out[k : k + 4096], schema=_ARROW).select(["doc", "key", "starts"])
+            # starts go on packed by buckets of documents: a row for each document would be one for each document and task
+            out = _starts_rows(*map(np.concatenate, zip(*good, strict=True)), buckets)
+            for k in range(0, len(out), 512):
+                yield pa.RecordBatch.from_pylist(out[k : k + 512], schema=_ARROW).select(["bucket", "payload"])
 
         for batch in batches:
             known = batch.filter(pa.compute.equal(batch.column("kind"), STARTS))
             if known.num_rows:
-                yield known.select(["doc", "key", "starts"])
+                yield known.select(["bucket", "payload"])
             for kind, bucket, payload in zip(*[batch.column(c).to_pylist() for c in ("kind", "bucket", "payload")], strict=True):
                 if kind != ENTRIES:
                     continue
@@ -202,9 +202,36 @@ def _reduced(rows: DataFrame, later_only: bool) -> DataFrame:
         if good:
             yield from said()
 
-    dealt = rows.where(F.col("kind") != TEXT).select("kind", "bucket", "payload", "doc", "key", "starts").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    out = dealt.mapInArrow(released(run), "doc long, key long, starts array<int>")
-    return out.groupBy("doc", "key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    def gathered(batches):
+        now, held = None, []
+
+        def said():
+            """Of the bucket that is held, a row for each document."""
+            docs, keys, starts = [np.concatenate(c) for c in zip(*map(_unpack, held), strict=True)][2:]
+            order = np.lexsort((starts, keys, docs))
+            docs, keys, starts = docs[order], keys[order], starts[order].astype(np.int32)
+            new = np.ones(len(order), bool)  # of a document
+            new[1:] = (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])
+            once = new.copy()
+            once[1:] |= starts[1:] != starts[:-1]
+            docs, keys, starts, new = docs[once], keys[once], starts[once], new[once]
+            heads = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array([*heads, len(starts)], pa.int32()), pa.array(starts, pa.int32()))
+            yield from pa.Table.from_arrays([pa.array(docs[heads]), pa.array(keys[heads]), lists], names=["doc", "key", "starts"]).to_batches(max_chunksize=4096)
+
+        for batch in batches:
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield from said()
+                    held = []
+                now = bucket
+                held.append(payload)
+        if held:
+            yield from said()
+
+    dealt = rows.where(F.col("kind") != TEXT).select("kind", "bucket", "payload").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    known = dealt.mapInArrow(released(run), "bucket int, payload binary").repartition("bucket").sortWithinPartitions("bucket")
+    return known.mapInArrow(released(gathered), "doc long, key long, starts array<int>")
 
 
 def _level_one(rows: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -265,13 +292,13 @@ def shortened(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFra
     buckets = BUCKETS * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = _identified(docs)
     copies = written(_copies(rows))
-    chosen = _reduced(_level_one(rows, length, buckets), False).select("doc", F.col("starts").alias("anchors"))
+    chosen = _reduced(_level_one(rows, length, buckets), False, buckets).select("doc", F.col("starts").alias("anchors"))
     several = rows.groupBy("doc").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("doc", F.lit(True).alias("several"))
     skip = copies.groupBy("doc").agg(F.collect_set("key").alias("skip"))
     chosen = written(chosen.join(several, "doc", "left").join(skip, "doc", "left"))
     two = written(_level_two(rows.join(chosen, "doc").select("doc", "key", "text", "anchors", F.coalesce("several", F.lit(False)).alias("several"), "skip"), length, buckets))
     discard(chosen)
-    starts = _reduced(two, True).withColumnsRenamed({"doc": "doc_", "key": "key_"})
+    starts = _reduced(two, True, buckets).withColumnsRenamed({"doc": "doc_", "key": "key_"})
     texts = two.where(F.col("kind") == TEXT).select("doc", "key", "text")
     lost = texts.join(starts, (F.col("doc") == F.col("doc_")) & ((F.col("key_") == 0) | (F.col("key") == F.col("key_"))))
     return lost.select("doc", "key", "text", "starts"), copies

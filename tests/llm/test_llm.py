@@ -200,6 +200,14 @@ def test_estimation_prefers_agreement():
 # -- 5
 
 
+def test_starts_travel_packed():
+    docs = np.arange(-500, 500)
+    packed = substring._starts_rows(docs, docs + 1, (docs % 7).astype(np.uint32), 8)
+    assert len(packed) == 8
+    found = [np.concatenate(c) for c in zip(*(substring._unpack(r["payload"]) for r in packed), strict=True)]
+    assert sorted(zip(*map(np.ndarray.tolist, found[2:]), strict=True)) == [(d, d + 1, d % 7) for d in range(-500, 500)]
+
+
 def test_substrings(spark, docs, corpus, empty, monkeypatch):
     first = {}
     split = {i: WORD.findall(t or "") for i, t, *_ in corpus}

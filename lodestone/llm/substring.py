@@ -144,7 +144,7 @@ def _resolve(columns: list[np.ndarray], buckets: int, later_only: bool):
         known = several | ~new
         sent = new
         columns[2], columns[3], columns[4] = (np.where(known, v, c) for c, v in zip(columns[2:], (0, 0, 0xFFFFFFFF), strict=True))
-    rows = _starts_rows(docs[known], keys[known], starts[known], buckets)
+    rows = _starts_rows(docs[known], keys[known], starts[known], buckets // BUCKETS)
     sent = [c[sent] for c in columns]
     bucket = (sent[0] >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
@@ -178,7 +178,7 @@ def _reduced(rows: DataFrame, later_only: bool, buckets: int) -> DataFrame:
 
         def said():
             # starts go on packed by buckets of documents: a row for each document would be one for each document and task
-            out = _starts_rows(*map(np.concatenate, zip(*good, strict=True)), buckets)
+            out = _starts_rows(*map(np.concatenate, zip(*good, strict=True)), buckets // BUCKETS)
             for k in range(0, len(out), 512):
                 yield pa.RecordBatch.from_pylist(out[k : k + 512], schema=_ARROW).select(["bucket", "payload"])
 

@@ -70,6 +70,11 @@ def lengths(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataF
     return docs.select(key, F.size(terms(F.col(text))).alias("doc_len")).where("doc_len > 0")
 
 
+def bags(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, terms) of whole documents, terms in order with repeats: what postings count."""
+    return docs.select(key, terms(F.col(text)).alias("terms"))
+
+
 def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 

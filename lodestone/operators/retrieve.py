@@ -149,16 +149,19 @@ def dense(questions: DataFrame, index: DataFrame, k: int = CHANNEL_K, where: Col
 
 
 def bm25(questions: DataFrame, posts: DataFrame, k: int = CHANNEL_K, allowed: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) over postings (term, chunk_id, tf, doc_len).
+    """(query_id, chunk_id, score, rank) over postings (term, chunk_id, tf, doc_len), or over `index.bags` (chunk_id, terms).
 
     Statistics are those of all documents; `allowed` (chunk_id) filters before
     the ranks are taken.  lengths: (chunk_id, doc_len) of the documents that
     have postings, where that is cheaper than to take it from these.  Postings
     of a document stay together, so that scores of a document are summed and
     those beyond the k best of a part are dropped before anything is moved; the
-    terms of the batch of questions go to all parts.
+    terms of the batch of questions go to all parts.  Bags are whole documents,
+    of which no row for each term is ever made: the way for a large table.
     """
     wanted = questions.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    if "terms" in posts.columns:
+        return top_k(_bagged(wanted, posts, k, allowed), k)
     stats = (posts if lengths is None else lengths).groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))  # one row
     hits = posts.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -169,6 +172,104 @@ def bm25(questions: DataFrame, posts: DataFrame, k: int = CHANNEL_K, allowed: Da
     return top_k(scored.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score")), k)
 
 
+def _counted(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, doc_len, bag) of documents with terms; a bag holds places of known terms, ascending, and how often each occurs, as 32-bit integers."""
+    for batch in batches:
+        of = batch.column("terms")
+        size = pc.fill_null(pc.list_value_length(of), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = pc.index_in(of.flatten(), value_set=known)
+        hit = place.is_valid().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(size)), size)[hit]
+        both, tf = np.unique(row * len(known) + place.drop_null().to_numpy(), return_counts=True)
+        row, place = (both // len(known), both % len(known)) if len(known) else (both, both)
+        pairs = np.column_stack([place, tf]).astype("<i4")
+        ends = np.searchsorted(row, np.arange(len(size) + 1))
+        bag = pa.array([pairs[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+        out = pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(size), bag], names=["chunk_id", "doc_len", "bag"])
+        yield out.filter(pa.array(size > 0))
+
+
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place of the term and its count, of the bags of each row; in the order of rows and of places, once each."""
+    bags = batch.column("bags")
+    row = np.repeat(np.arange(len(bags)), bags.value_lengths().to_numpy())
+    flat = bags.flatten()
+    row = np.repeat(row, pc.binary_length(flat).to_numpy() // 8)
+    pairs = np.frombuffer(b"".join(flat.to_pylist()), "<i4").reshape(-1, 2).astype(np.int64)
+    place, tf = pairs[:, 0], pairs[:, 1]
+    if len(flat) > len(bags):  # rows that repeat a chunk_id are one document
+        order = np.lexsort([place, row])
+        row, place, tf = row[order], place[order], tf[order]
+        heads = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+        row, place, tf = row[heads], place[heads], np.add.reduceat(tf, heads)
+    return row, place, tf
+
+
+def _bagged(wanted: DataFrame, bags: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    """(query_id, chunk_id, score) that hold the k best of each question; wanted: (query_id, term).
+
+    Scores of a block of documents are summed term by term in the order of the
+    terms, so that equal documents score alike wherever they lie.
+    """
+    pairs = wanted.toArrow()
+    asked = pairs.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    known = pc.unique(pairs.column("term")).sort()
+    asks = asked.dictionary
+    # for each term its questions, and how often they hold it: a query_id that repeats is one question
+    both, times = np.unique(pc.index_in(pairs.column("term"), value_set=known).to_numpy().astype(np.int64) * max(len(asks), 1) + asked.indices.to_numpy(), return_counts=True)
+    of, who = both // max(len(asks), 1), both % max(len(asks), 1)
+    ends = np.searchsorted(of, np.arange(len(known) + 1))
+
+    kind = {"query_id": wanted.schema["query_id"].dataType.simpleString(), "chunk_id": bags.schema["chunk_id"].dataType.simpleString()}
+    packed = bags.select("chunk_id", "terms").mapInArrow(lambda batches: _counted(batches, known), f"chunk_id {kind['chunk_id']}, doc_len long, bag binary")
+    docs = packed.groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len"), F.collect_list("bag").alias("bags"))
+
+    def held(batches):
+        n, words, df = 0, 0, np.zeros(len(known), np.int64)
+        for batch in batches:
+            n, words = n + batch.num_rows, words + (pc.sum(batch.column("doc_len")).as_py() or 0)
+            df += np.bincount(_opened(batch)[1], minlength=len(known))
+        yield pa.RecordBatch.from_pydict({"n": [n], "words": [words], "df": [df.astype("<i8").tobytes()]})
+
+    n, words, df = 0, 0, np.zeros(len(known), np.int64)
+    for part in docs.select("doc_len", "bags").mapInArrow(held, "n long, words long, df binary").toLocalIterator():
+        n, words, df = n + part["n"], words + part["words"], df + np.frombuffer(part["df"], "<i8")
+    avgdl = words / n if n else 1.0
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    step = max(1, SCORES_HELD // max(len(asks), 1))
+
+    def run(batches):
+        floor = np.full(len(asks), -np.inf)  # the k-th best of a block so far
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("chunk_id"), null_placement="at_start"))
+            for at in range(0, batch.num_rows if len(asks) else 0, step):
+                part = batch.slice(at, step)
+                row, place, tf = _opened(part)
+                long = part.column("doc_len").to_numpy()[row]
+                weight = idf[place] * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * long / avgdl))
+                order = np.argsort(place, kind="stable")
+                row, weight = row[order], weight[order]
+                cuts = np.searchsorted(place[order], np.arange(len(known) + 1))
+                score = np.zeros((len(asks), part.num_rows))
+                for t in np.flatnonzero(np.diff(cuts)):
+                    i, j, x, y = cuts[t], cuts[t + 1], ends[t], ends[t + 1]
+                    score[who[x:y, None], row[i:j]] += times[x:y, None] * weight[i:j]
+                if part.num_rows > k:
+                    floor = np.maximum(floor, np.partition(score, part.num_rows - k, 1)[:, part.num_rows - k])
+                i, j = np.nonzero((score > 0) & (score >= floor[:, None] - NEAR))  # a term that is held weighs more than 0
+                own = score[i, j]
+                # of equal scores only the first k can be among the best
+                order = np.lexsort([j, own, i])
+                i, j, own = i[order], j[order], own[order]
+                heads = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(own, prepend=-1.0) != 0))
+                first = np.arange(len(i)) - np.repeat(heads, np.diff([*heads, len(i)])) < k
+                i, j, own = i[first], j[first], own[first]
+                yield pa.RecordBatch.from_arrays([asks.take(pa.array(i)), part.column("chunk_id").take(pa.array(j)), pa.array(own)], names=["query_id", "chunk_id", "score"])
+
+    rows = docs if allowed is None else docs.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return rows.select("chunk_id", "doc_len", "bags").mapInArrow(run, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, score double")
+
+
 def fuse(channels: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     """(query_id, chunk_id, fused_score, ranks): the sum of 1 / (k + rank) over the channels that hold a chunk."""
     parts = [df.select("query_id", "chunk_id", F.lit(name).alias("channel"), "rank") for name, df in channels.items()]

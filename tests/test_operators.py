@@ -104,6 +104,21 @@ def test_bm25_sums_a_document_where_it_lies(spark):
     assert not re.search(r"hashpartitioning\(query_id#\d+L, chunk_id", found._jdf.queryExecution().executedPlan().toString())
 
 
+def test_bm25_of_bags_is_that_of_postings_without_a_row_for_each_term(spark):
+    words = "a b c d e f g h".split()
+    rows = [(i, " ".join(words[(i * p + p) % (3 + i % 6)] for p in range(1, 2 + i % 11))) for i in range(300)] + [(500 + i, "a b a c") for i in range(60)]
+    rows += [(None, "a h"), (700, "a c"), (700, "c e"), (701, None), (702, "..."), (703, "")]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string")
+    asked = spark.createDataFrame([("x", "a b"), ("y", "c c H"), ("x", "a e"), (None, "d"), ("z", "none"), ("n", None), ("w", "a b c d e f g h")], "query_id string, query string")
+    allowed = docs.where("chunk_id % 3 > 0").select("chunk_id")
+    plain = lambda df: sorted((str(r.query_id), r["rank"], str(r.chunk_id), round(r.score, 9)) for r in df.collect())
+    for only in (None, allowed):
+        found = retrieve.bm25(asked, index.bags(docs), 7, allowed=only)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        assert plain(found) == plain(retrieve.bm25(asked, index.postings(docs), 7, allowed=only))
+    assert retrieve.bm25(asked.limit(0), index.bags(docs)).count() == 0 == retrieve.bm25(asked, index.bags(docs.limit(0))).count()
+
+
 def test_rerank_appends_what_is_left_out(spark):
     df = spark.createDataFrame([(1, c, s, "q", c) for c, s in zip("abcd", (4.0, 3.0, 2.0, 1.0), strict=True)], "query_id int, chunk_id string, boosted_score double, query string, text string")
     out = retrieve.rerank_with(df, lambda q, texts: [3, 9, 3, True]).orderBy("rank").collect()

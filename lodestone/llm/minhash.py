@@ -96,7 +96,7 @@ _FIRST = [(k, _ROOTS[at], c) for k, (at, c) in enumerate(chosen(_ROOTS))]
 
 
 def signatures(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (hash of the set), sketch (8 bits of each token), tokens (32 bits), roots (first nodes) of every row."""
+    """doc_id, n_shingles, s1, s2 (hash of the set), sketch (8 bits of each token), tokens (16 bits), roots (first nodes) of every row."""
 
     def run(batches):
         for batch in batches:
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 s2.append(int(digest[1]))
                 sig = signature(own)
                 sketch.append(sig.astype(np.uint8).tobytes())
-                tokens.append(sig.astype("<u4").tobytes())
+                tokens.append(sig.astype("<u2").tobytes())
                 first = [step(node, k, at, sig[at.astype(np.int64)]) for k, node, at in _FIRST]
                 roots.append(np.concatenate(first).astype(np.int64).tolist() if len(own) else [])
             arrays = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, s1, s2)], pa.array(sketch, pa.binary()), pa.array(tokens, pa.binary()), pa.array(roots, pa.list_(pa.int64()))]
@@ -135,7 +135,7 @@ def _signed(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            own = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u4").reshape(-1, COORDINATES)
+            own = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u2").reshape(-1, COORDINATES)
             node = batch.column("node").to_numpy().view(np.uint64)
             sketch = pa.array([x.tobytes() for x in own.astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label")], sketch, _next(node, own)], names=["node", "rep", "label", "sketch", "next"])
@@ -362,7 +362,7 @@ def within(members: DataFrame, sets: _Sets, percent: int = PERCENT) -> DataFrame
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (cell, rep, sketch) from rows (node, rep, sketch, label, top, n, m): each node's largest component in blocks, of which each meets all chunks of the m others."""
+    """Rows (cell, rep) from rows (node, rep, label, top, n, m): each node's largest component in blocks, of which each meets all chunks of the m others."""
     number = lambda what, size: F.greatest(F.ceil(F.col(what) / size), F.lit(1)).cast("long")
     rows = rows.withColumn("others", number("m", SMALL)).withColumn("blocks", F.greatest(F.ceil((F.col("n") - F.col("m")) / BLOCK), F.lit(1)).cast("long"))
     main = F.col("label") == F.col("top")
@@ -371,7 +371,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: cell("main", F.col("own"), j))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: cell("main", i, F.col("own")))
     rest = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: j != F.col("own")), lambda j: cell("others", F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
-    return rows.select(F.explode(F.when(main, meets).otherwise(F.concat(met, rest))).alias("cell"), "rep", "sketch")
+    return rows.select(F.explode(F.when(main, meets).otherwise(F.concat(met, rest))).alias("cell"), "rep")
 
 
 class _Links:
@@ -413,7 +413,7 @@ def _open(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Links, least: float) -> DataFrame:
-    """Rows (cell, rep, sketch): where documents of different labels are compared; from rows (node, rep) of the first level.
+    """Rows (cell, rep): where documents of different labels are compared; from rows (node, rep) of the first level.
 
     The alike members of a large node are first held against its pivot, one of
     its largest component and another one in each node, so that few are left
@@ -425,7 +425,7 @@ def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Link
         for batch in batches:
             x, y = _array(batch.column("sketch")), _array(batch.column("pivot_sketch"))
             near = pa.array((x == y).sum(1).astype(np.int32) if batch.num_rows else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label", "pivot", "top", "sketch", "next")], near], names=["node", "rep", "label", "pivot", "top", "sketch", "next", "like"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label", "pivot", "top", "next")], near], names=["node", "rep", "label", "pivot", "top", "next", "like"])
 
     small, blocks = [], []
     main = F.col("label") == F.col("top")
@@ -439,20 +439,19 @@ def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Link
         of = large.groupBy("node", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "rep"), "rep"))["rep"].alias("pivot"))
         top = of.groupBy("node").agg(F.max(F.struct("c", F.xxhash64("node", "label"), "label", "pivot")).alias("t")).select("node", F.col("t.label").alias("top"), F.col("t.pivot").alias("pivot"))
         top = top.join(sketches.withColumnsRenamed({"rep": "pivot", "sketch": "pivot_sketch"}), "pivot").select("node", "top", "pivot", "pivot_sketch")
-        large = written(_signed(large, tokens).join(top, "node").mapInArrow(released(alike), "node long, rep long, label long, pivot long, top long, sketch binary, next array<long>, like int"))
+        large = written(_signed(large, tokens).join(top, "node").mapInArrow(released(alike), "node long, rep long, label long, pivot long, top long, next array<long>, like int"))
         likest = large.where((F.col("like") >= need) & ~main).groupBy("rep").agg(F.max(F.struct("like", "pivot"))["pivot"].alias("pivot"))
         pairs = links.new(likest.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
         if GAIN * pairs.count() >= large.count():
             links.hold(pairs)
             # the pivot's component now; it was the largest before
             large = links.labelled(large.drop("label")).withColumnsRenamed({"label": "own_label", "rep": "own_rep", "pivot": "rep"})
-            large = links.labelled(large.drop("top")).select("node", F.col("own_rep").alias("rep"), F.col("own_label").alias("label"), F.col("label").alias("top"), "sketch", "next", "like")
+            large = links.labelled(large.drop("top")).select("node", F.col("own_rep").alias("rep"), F.col("own_label").alias("label"), F.col("label").alias("top"), "next", "like")
         sums = large.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~main).alias("m"), F.count_if(main | (F.col("like") >= need)).alias("near_n")).where("m > 0")
         sums = written(sums.withColumn("whole", (2 * F.col("near_n") >= F.col("n")) | F.lit(level + 1 >= LEVELS)))
         blocks.append(_blocks(large.join(sums.where("whole").select("node", "n", "m"), "node")))
         rows = written(large.join(sums.where("NOT whole").select("node"), "node", "left_semi").select(F.explode("next").alias("node"), "rep"))
-    small = functools.reduce(DataFrame.union, small).join(sketches, "rep").select("cell", "rep", "sketch")
-    return functools.reduce(DataFrame.union, blocks, small)
+    return functools.reduce(DataFrame.union, [*small, *blocks])
 
 
 @tidy
@@ -476,7 +475,7 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
     sketches = signed.where(usable).select(F.col("doc_id").alias("rep"), "sketch")
     tokens = signed.where(usable).select(F.col("doc_id").alias("rep"), "tokens")
     cells = written(_cells(rows, sketches, tokens, links, least))
-    likely = written(likeliest(links.labelled(cells), least))
+    likely = written(likeliest(links.labelled(cells).join(sketches, "rep"), least))  # sketches are long, so cells do without
     if likely.isEmpty():
         links.join()
     else:
@@ -485,7 +484,7 @@ def linked(docs: DataFrame, length: int = LENGTH, percent: int = PERCENT) -> Dat
         held = links.labelled(likely.select("cell", F.col("a").alias("rep"), "b")).select("cell", F.col("b").alias("rep"), F.col("label").alias("one"))
         open_ = links.labelled(held).where("one <> label").select("cell").distinct()
         apart = links.labelled(cells.join(open_, "cell", "left_semi"))
-        apart = written(groups(apart, least))
+        apart = written(groups(apart.join(sketches, "rep"), least))
         ends = {k: F.when(F.size("members") == 2, F.get("members", F.lit(k))) for k in (0, 1)}
         apart = apart.join(links.tried, (ends[0] == F.col("a")) & (ends[1] == F.col("b")), "left_anti")
         members = written(links.labelled(apart.select(F.xxhash64("members").alias("group"), F.explode("members").alias("rep"))))

@@ -328,6 +328,19 @@ def test_minhash(spark, docs, corpus, empty, monkeypatch, small):
         assert {r.doc_id: (r.component_id, r.kept) for r in minhash.linked(null).collect()} == {None: (None, True), 1: (1, True), 2: (1, False)}
 
 
+def test_minhash_writes_cells_without_sketches(spark, monkeypatch):
+    """A document is in many cells, and its sketch is longer than a row of these."""
+    seen, write = [], minhash.written
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "written", lambda df: seen.append(df.columns) or write(df))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:50], f"x{i}", *words[50:]])) for i in range(6)] + [(9, "another text")]
+    out = {r.doc_id: r.component_id for r in minhash.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == dict.fromkeys(range(6), 0) | {9: 9}
+    assert any("cell" in c for c in seen) and not any("sketch" in c and {"cell", "node"} & set(c) for c in seen)
+    assert {len(r.tokens) for r in minhash.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {2 * minhash.COORDINATES}
+
+
 # -- 9
 
 

@@ -46,6 +46,8 @@ def released(run):
 
 #: Rows, and bytes, that go to a Python worker at a time when something is written: rows here hold texts or sets.
 BATCH, BATCH_BYTES = 2000, 8 << 20
+#: Shuffle files go when the query that wrote them ends; else they stay until the driver happens to collect garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: For each `tidy` function that runs, what `written` wrote in it.
 _RUNNING: list[list[DataFrame]] = []
 
@@ -55,9 +57,10 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
     least = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-    before = {k: spark.conf.get(k, None) for k in least}
+    before = {k: spark.conf.get(k, None) for k in (*least, FREED)}
     for k, v in least.items():
         spark.conf.set(k, str(min(int(before[k]), v) if (before[k] or "").isdigit() and int(before[k]) > 0 else v))
+    spark.conf.set(FREED, "true")
     try:
         df.write.parquet(path)
     finally:

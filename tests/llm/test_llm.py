@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -266,6 +268,18 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.linked(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_written_leaves_no_shuffle_files(spark):
+    dirs = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in dirs for p in d.rglob("shuffle_*")}
+    before = files()
+    out = common.written(spark.range(100_000).groupBy((F.col("id") % 5000).alias("x")).agg(F.count("*").alias("n")))
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 5000
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -18,7 +18,9 @@ What is wanted are components, so work that cannot change them is left out:
   the component of most of its members) is not branched again, as branching
   would hardly split it: its members are held against the likest of their
   nodes' pivots, and then it is cut into blocks, in which its largest component
-  meets all others, so that its work is linear in that component;
+  meets all others, so that its work is linear in that component; such nodes of
+  all trees and levels with much the same members are cut as one, so that a
+  group is compared once, not once in each node;
 * each node or block first offers a spanning forest of its likeliest links, at
   most one link fewer than it has components; only what is still apart when
   these are confirmed is compared in full, on the sets themselves, and of that
@@ -361,19 +363,6 @@ def within(members: DataFrame, sets: _Sets, percent: int = PERCENT) -> DataFrame
     return written(rows.repartition("group").sortWithinPartitions("group").mapInArrow(released(run), "a long, b long"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (cell, rep) from rows (node, rep, label, top, n, m): each node's largest component in blocks, of which each meets all chunks of the m others."""
-    number = lambda what, size: F.greatest(F.ceil(F.col(what) / size), F.lit(1)).cast("long")
-    rows = rows.withColumn("others", number("m", SMALL)).withColumn("blocks", F.greatest(F.ceil((F.col("n") - F.col("m")) / BLOCK), F.lit(1)).cast("long"))
-    main = F.col("label") == F.col("top")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit("place"), "rep"), F.when(main, F.col("blocks")).otherwise(F.col("others"))))
-    cell = lambda kind, x, y: F.xxhash64("node", F.lit(kind), x, y)
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: cell("main", F.col("own"), j))
-    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: cell("main", i, F.col("own")))
-    rest = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: j != F.col("own")), lambda j: cell("others", F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
-    return rows.select(F.explode(F.when(main, meets).otherwise(F.concat(met, rest))).alias("cell"), "rep")
-
-
 class _Links:
     """What is known of links while they are sought: pairs that were tried, confirmed ones, and the components these give."""
 
@@ -407,6 +396,52 @@ class _Links:
         return rows.join(self.first, F.col("rep") == F.col("id"), "left").withColumn("label", F.coalesce("component", "rep")).drop("id", "component")
 
 
+def _numbers(n, m):
+    """In how many blocks the largest component of a node is cut, and in how many chunks its m others; of n members."""
+    number = lambda what, size: F.greatest(F.ceil(what / size), F.lit(1)).cast("long")
+    return number(n - m, BLOCK), number(m, SMALL)
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (cell, rep) from rows (node, rep, label, top, n, m): each node's largest component in blocks, of which each meets all chunks of the m others."""
+    blocks, others = _numbers(F.col("n"), F.col("m"))
+    rows = rows.withColumn("others", others).withColumn("blocks", blocks)
+    main = F.col("label") == F.col("top")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit("place"), "rep"), F.when(main, F.col("blocks")).otherwise(F.col("others"))))
+    cell = lambda kind, x, y: F.xxhash64("node", F.lit(kind), x, y)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: cell("main", F.col("own"), j))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: cell("main", i, F.col("own")))
+    rest = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("others") - 1), lambda j: j != F.col("own")), lambda j: cell("others", F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    return rows.select(F.explode(F.when(main, meets).otherwise(F.concat(met, rest))).alias("cell"), "rep")
+
+
+def _topped(rows: DataFrame) -> DataFrame:
+    """node, key, top (the label of most members), n (members) and m (those of other labels) of each node that is open; from rows (node, key, rep, label)."""
+    of = rows.groupBy("node", "key", "label").agg(F.count("*").alias("c"))
+    sums = of.groupBy("node", "key").agg(F.max(F.struct("c", F.xxhash64("node", "label"), "label")).alias("t"), F.sum("c").alias("n"))
+    return sums.select("node", "key", F.col("t.label").alias("top"), "n", (F.col("n") - F.col("t.c")).alias("m")).where("m > 0")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """Rows (node, rep, label, top, n, m) for `_blocks`, in which all meet that meet in a node; from rows (node, rep, label, near) of nodes that are alike.
+
+    A large group is in nodes of all trees, with much the same members, and a
+    pair need be compared once only.  So nodes whose near members have the same
+    smallest label, which is likelier the more they share, are taken as one,
+    where that makes fewer rows than they do apart.
+    """
+    keys = rows.where("near").groupBy("node").agg(F.min("label").alias("key"))
+    apart = rows.join(keys, "node").select("node", "key", "rep", "label")
+    joint = apart.select(F.xxhash64(F.lit("joint"), "key").alias("node"), "key", "rep", "label").distinct()
+    apart, joint = written(apart), written(joint)
+    nodes = written(_topped(apart).withColumn("one", F.lit(False)).union(_topped(joint).withColumn("one", F.lit(True))))
+    blocks, others = _numbers(F.col("n"), F.col("m"))
+    work = (F.col("n") - F.col("m")) * others + F.col("m") * (blocks + others - 1)
+    fewer = nodes.groupBy("key").agg(F.sum(F.when(F.col("one"), work)).alias("x"), F.sum(F.when(~F.col("one"), work)).alias("y")).select("key", F.coalesce(F.col("x") <= F.col("y"), F.col("y").isNull()).alias("better"))
+    nodes = nodes.join(fewer, "key").where("one = better").select("node", "top", "n", "m")
+    return apart.union(joint).select("node", "rep", "label").join(nodes, "node")
+
+
 def _open(rows: DataFrame, key: str) -> DataFrame:
     """The keys of rows (key, label) that hold different labels, with the number of their rows."""
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(key, "n")
@@ -427,7 +462,7 @@ def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Link
             near = pa.array((x == y).sum(1).astype(np.int32) if batch.num_rows else [], pa.int32())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "label", "pivot", "top", "next")], near], names=["node", "rep", "label", "pivot", "top", "next", "like"])
 
-    small, blocks = [], []
+    small, alike_ones = [], []
     main = F.col("label") == F.col("top")
     for level in itertools.count():
         rows = links.labelled(rows)
@@ -447,11 +482,15 @@ def _cells(rows: DataFrame, sketches: DataFrame, tokens: DataFrame, links: _Link
             # the pivot's component now; it was the largest before
             large = links.labelled(large.drop("label")).withColumnsRenamed({"label": "own_label", "rep": "own_rep", "pivot": "rep"})
             large = links.labelled(large.drop("top")).select("node", F.col("own_rep").alias("rep"), F.col("own_label").alias("label"), F.col("label").alias("top"), "next", "like")
-        sums = large.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~main).alias("m"), F.count_if(main | (F.col("like") >= need)).alias("near_n")).where("m > 0")
+        near = main | (F.col("like") >= need)
+        sums = large.groupBy("node").agg(F.count("*").alias("n"), F.count_if(~main).alias("m"), F.count_if(near).alias("near_n")).where("m > 0")
         sums = written(sums.withColumn("whole", (2 * F.col("near_n") >= F.col("n")) | F.lit(level + 1 >= LEVELS)))
-        blocks.append(_blocks(large.join(sums.where("whole").select("node", "n", "m"), "node")))
+        alike_ones.append(large.join(sums.where("whole").select("node"), "node", "left_semi").select("node", "rep", near.alias("near")))
         rows = written(large.join(sums.where("NOT whole").select("node"), "node", "left_semi").select(F.explode("next").alias("node"), "rep"))
-    return functools.reduce(DataFrame.union, [*small, *blocks])
+    whole = written(links.labelled(functools.reduce(DataFrame.union, alike_ones))) if alike_ones else None
+    if whole is not None and not whole.isEmpty():
+        small.append(_blocks(_together(whole)))
+    return functools.reduce(DataFrame.union, small)
 
 
 @tidy

@@ -355,6 +355,23 @@ def test_minhash_writes_cells_without_sketches(spark, monkeypatch):
     assert {len(r.tokens) for r in minhash.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {2 * minhash.COORDINATES}
 
 
+def test_minhash_compares_a_group_once(spark, monkeypatch):
+    """Near copies too far apart for most to link are together in nodes of all trees; these are cut as one."""
+    rng, made, likeliest = random.Random(3), [], minhash.likeliest
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "likeliest", lambda cells, least: made.append(cells.count()) or likeliest(cells, least))
+    texts = {}
+    for i in range(90):
+        own = set(rng.sample(range(80), 7 if i < 40 else 0))
+        texts[i] = " ".join([*(f"x{i}{k}" if k in own else f"w{k}" for k in range(80)), f"y{i}"])
+    out = {r.doc_id: r.component_id for r in minhash.linked(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert out == classes(sets, edges)
+    assert made[0] < 5000  # 10,728 when each node is cut by itself
+
+
 # -- 9
 
 

@@ -7,6 +7,7 @@ row_number, which the planner turns into a group limit before the shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -161,7 +162,7 @@ def bm25(questions: DataFrame, posts: DataFrame, k: int = CHANNEL_K, allowed: Da
     """
     wanted = questions.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     if "terms" in posts.columns:
-        return top_k(_bagged(wanted, posts, k, allowed), k)
+        return _bagged(wanted, posts, k, allowed)
     stats = (posts if lengths is None else lengths).groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))  # one row
     hits = posts.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -205,11 +206,31 @@ def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, place, tf
 
 
+def _kept(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """`df` as Parquet in the folder that executors share, and what deletes it."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone"
+    path = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        gone()
+        raise
+    return spark.read.schema(df.schema).parquet(path), gone
+
+
 def _bagged(wanted: DataFrame, bags: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
-    """(query_id, chunk_id, score) that hold the k best of each question; wanted: (query_id, term).
+    """(query_id, chunk_id, score, rank) of the k best of each question; wanted: (query_id, term).
 
     Scores of a block of documents are summed term by term in the order of the
-    terms, so that equal documents score alike wherever they lie.
+    terms, so that equal documents score alike wherever they lie.  Texts are
+    gone through once: what they hold of the terms is written, both for the
+    statistics and for the scores, and deleted when these are written.
     """
     pairs = wanted.toArrow()
     asked = pairs.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
@@ -222,7 +243,7 @@ def _bagged(wanted: DataFrame, bags: DataFrame, k: int, allowed: DataFrame | Non
 
     kind = {"query_id": wanted.schema["query_id"].dataType.simpleString(), "chunk_id": bags.schema["chunk_id"].dataType.simpleString()}
     packed = bags.select("chunk_id", "terms").mapInArrow(lambda batches: _counted(batches, known), f"chunk_id {kind['chunk_id']}, doc_len long, bag binary")
-    docs = packed.groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len"), F.collect_list("bag").alias("bags"))
+    docs, gone = _kept(packed.groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len"), F.collect_list("bag").alias("bags")))
 
     def held(batches):
         n, words, df = 0, 0, np.zeros(len(known), np.int64)
@@ -231,11 +252,29 @@ def _bagged(wanted: DataFrame, bags: DataFrame, k: int, allowed: DataFrame | Non
             df += np.bincount(_opened(batch)[1], minlength=len(known))
         yield pa.RecordBatch.from_pydict({"n": [n], "words": [words], "df": [df.astype("<i8").tobytes()]})
 
-    n, words, df = 0, 0, np.zeros(len(known), np.int64)
-    for part in docs.select("doc_len", "bags").mapInArrow(held, "n long, words long, df binary").toLocalIterator():
-        n, words, df = n + part["n"], words + part["words"], df + np.frombuffer(part["df"], "<i8")
-    avgdl = words / n if n else 1.0
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    def summed(batches):
+        n, words, df = 0, 0, np.zeros(len(known), np.int64)
+        for part in (part for batch in batches for part in batch.to_pylist()):
+            n, words, df = n + part["n"], words + part["words"], df + np.frombuffer(part["df"], "<i8")
+        yield pa.RecordBatch.from_pydict({"n": [n], "words": [words], "df": [df.astype("<i8").tobytes()]})
+
+    def scored() -> DataFrame:
+        parts = docs.select("doc_len", "bags").mapInArrow(held, "n long, words long, df binary").repartition(8).mapInArrow(summed, "n long, words long, df binary")
+        n, words, df = 0, 0, np.zeros(len(known), np.int64)
+        for part in parts.toLocalIterator():
+            n, words, df = n + part["n"], words + part["words"], df + np.frombuffer(part["df"], "<i8")
+        rows = docs if allowed is None else docs.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        run = _scorer(known, asks, who, times, ends, np.log(1 + (n - df + 0.5) / (df + 0.5)), words / n if n else 1.0, k)
+        return top_k(rows.select("chunk_id", "doc_len", "bags").mapInArrow(run, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, score double"), k)
+
+    try:
+        return _kept(scored())[0]
+    finally:
+        gone()
+
+
+def _scorer(known: pa.Array, asks: pa.Array, who: np.ndarray, times: np.ndarray, ends: np.ndarray, idf: np.ndarray, avgdl: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow from documents (chunk_id, doc_len, bags) to (query_id, chunk_id, score) that hold the k best of each question."""
     step = max(1, SCORES_HELD // max(len(asks), 1))
 
     def run(batches):
@@ -266,8 +305,7 @@ def _bagged(wanted: DataFrame, bags: DataFrame, k: int, allowed: DataFrame | Non
                 i, j, own = i[first], j[first], own[first]
                 yield pa.RecordBatch.from_arrays([asks.take(pa.array(i)), part.column("chunk_id").take(pa.array(j)), pa.array(own)], names=["query_id", "chunk_id", "score"])
 
-    rows = docs if allowed is None else docs.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return rows.select("chunk_id", "doc_len", "bags").mapInArrow(run, f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, score double")
+    return run
 
 
 def fuse(channels: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:

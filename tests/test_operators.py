@@ -119,6 +119,17 @@ def test_bm25_of_bags_is_that_of_postings_without_a_row_for_each_term(spark):
     assert retrieve.bm25(asked.limit(0), index.bags(docs)).count() == 0 == retrieve.bm25(asked, index.bags(docs.limit(0))).count()
 
 
+def test_bm25_of_bags_goes_through_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    read = F.udf(lambda t: (seen.add(1), t)[1], "string").asNondeterministic()
+    docs = spark.createDataFrame([(i, f"oven {'belt ' * (i % 3)}x{i}") for i in range(30)], "chunk_id long, text string")
+    questions = spark.createDataFrame([(1, "belt"), (2, "oven x7")], "query_id long, query string")
+    found = retrieve.bm25(questions, index.bags(docs.withColumn("text", read("text"))), 5)
+    ranks = {(r.query_id, r.rank): r.chunk_id for r in found.collect()}
+    assert len(ranks) == 10 and ranks[2, 1] == 7 and [ranks[1, i] for i in (1, 2, 3)] == [2, 5, 8]
+    assert seen.value == 30  # 60 when statistics and scores each read the texts
+
+
 def test_rerank_appends_what_is_left_out(spark):
     df = spark.createDataFrame([(1, c, s, "q", c) for c, s in zip("abcd", (4.0, 3.0, 2.0, 1.0), strict=True)], "query_id int, chunk_id string, boosted_score double, query string, text string")
     out = retrieve.rerank_with(df, lambda q, texts: [3, 9, 3, True]).orderBy("rank").collect()
